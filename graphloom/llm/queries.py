@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_packing, quality_rules, secret_scan, simhash_neardup
+from . import best_fit_packing, quality_rules, secret_scan, simhash_neardup, substring_dedup
 from .common import read
 
 
@@ -14,6 +14,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedupe(read(spark, sf_dir, "documents")).drop("n_spans")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -30,5 +34,27 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_best_fit_packing, op5_simhash_near_dedup, op8_secret_scans)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_quality_rules, op4_best_fit_packing, op5_simhash_near_dedup, op8_secret_scans)}
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), win AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(w) - 18), lambda s: {'s': s, 'k': array_to_string(w[s:s + 19], ' ')})) AS v
+  FROM d WHERE len(w) >= 20
+), gone AS (
+  SELECT doc_id, v.s AS s FROM win
+  QUALIFY row_number() OVER (PARTITION BY v.k ORDER BY doc_id, v.s) > 1
+), cut AS (
+  SELECT DISTINCT doc_id, s + i AS j FROM gone, range(20) t(i)
+), word AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS line FROM word ANTI JOIN cut USING (doc_id, j) GROUP BY doc_id
+), removed AS (
+  SELECT doc_id, count(*) AS n FROM cut GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(line, '')) AS kept_sha256
+FROM d LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
+}
