@@ -135,18 +135,19 @@ def split_by_batch(batch: np.ndarray, *columns: np.ndarray) -> list[tuple[int, b
     return [(int(batch[a]), b"".join(c[a:b].tobytes() for c in columns)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
-def sliding_least(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least value and its leftmost place of each window of `width`; windows past the end are cut."""
-    least, place = values.copy(), np.arange(len(values))
+def sliding_least(values: np.ndarray, width: int, places: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Least value and, if asked for, its leftmost place of each window of `width`; windows past the end are cut."""
+    least, place = values.copy(), np.arange(len(values)) if places else None
     have = 1
     while have < width:
         step = min(have, width - have)
         if step >= len(values):
             break
         a, b = least[:-step], least[step:]
-        right = b < a
-        place = np.r_[np.where(right, place[step:], place[:-step]), place[len(values) - step :]]
-        least = np.r_[np.where(right, b, a), least[len(values) - step :]]
+        if places:
+            right = b < a
+            place = np.r_[np.where(right, place[step:], place[:-step]), place[len(values) - step :]]
+        least = np.r_[np.minimum(a, b), least[len(values) - step :]]
         have += step
     return least, place
 

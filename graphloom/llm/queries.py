@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_packing, quality_rules, secret_scan, simhash_neardup, substring_dedup
+from . import best_fit_packing, decontamination, html_extraction, line_dedup, quality_rules, secret_scan, simhash_neardup, substring_dedup, suffix_dedup
 from .common import read
 
 
@@ -18,6 +18,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedupe(read(spark, sf_dir, "documents")).drop("n_spans")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(read(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -30,11 +34,36 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(read(spark, sf_dir, "pages"))
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_quality_rules, op4_best_fit_packing, op5_simhash_near_dedup, op8_secret_scans)}
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedupe(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_line_dedup,
+        op3_quality_rules,
+        op4_best_fit_packing,
+        op5_simhash_near_dedup,
+        op6_html_extraction,
+        op7_benchmark_decontamination,
+        op8_secret_scans,
+        op9_suffix_array_dedup,
+    )
+}
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": r"""
 WITH d AS (
