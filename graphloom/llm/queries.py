@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_packing, decontamination, html_extraction, line_dedup, quality_rules, secret_scan, simhash_neardup, substring_dedup, suffix_dedup
+from . import best_fit_packing, decontamination, html_extraction, line_dedup, lm_scoring, quality_rules, secret_scan, simhash_neardup, substring_dedup, suffix_dedup
 from .common import read
 
 
@@ -50,6 +50,12 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedupe(read(spark, sf_dir, "documents"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lm_scoring.score(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -62,6 +68,7 @@ QUERIES = {
         op7_benchmark_decontamination,
         op8_secret_scans,
         op9_suffix_array_dedup,
+        op10_lm_scoring,
     )
 }
 ORACLE_SQL: dict[str, str] = {
