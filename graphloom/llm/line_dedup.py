@@ -73,10 +73,14 @@ def banded_distance(pattern: Column, text: Column, edits: int) -> Column:
     the pattern's end, then along its last row.  Characters come as arrays; the pattern is padded.
     """
     k, top = edits, 2 * edits
-    every = (1 << (top + 1)) - 1
     pad = F.array_repeat(F.lit(""), k)
-    p = F.concat(pad, F.split(pattern, ""), pad)
-    m, t = F.char_length(pattern), F.split(text, "")
+    # The arrays are bound once: inside a lambda they would be split again for every character.
+    given = F.struct(F.concat(pad, F.split(pattern, ""), pad).alias("p"), F.split(text, "").alias("t"), F.char_length(pattern).alias("m"))
+    return _once(given, lambda g: _distance(g["p"], g["t"], g["m"], k, top))
+
+
+def _distance(p: Column, t: Column, m: Column, k: int, top: int) -> Column:
+    every = (1 << (top + 1)) - 1
     first = F.struct(F.lit(every ^ ((1 << k) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(k).alias("d"))
     chars = F.transform(t, lambda c, j: F.struct(j.alias("j"), sum((F.when(F.get(p, j + i) == c, 1 << i).otherwise(0) for i in range(top + 1)), F.lit(0)).alias("eq")))
 
