@@ -1,6 +1,7 @@
 """Exact repeat search over batches of documents and shards of hashes.
 
-Documents are dealt by their key into batches of a bounded size.  A batch sends what it wants
+Documents are dealt by their key and text into batches of a bounded size: rows without an id, or
+with the same one, are told apart by their texts.  A batch sends what it wants
 compared, once for each distinct hash, as one packed row to each shard of the hash space; a shard
 answers each batch with the hashes that matter to it.  A passage that a third of all documents
 share thus costs one entry a batch and not one a document, and no task holds more than a shard
@@ -9,6 +10,7 @@ or a batch.  The texts are shuffled once: every round reads the same exchange ag
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -30,12 +32,13 @@ class Rounds:
     def __init__(self, texts: DataFrame, batch_bytes: int, shard_bytes: int):
         total = text_bytes(texts)
         self.batches, self.shards = parts(total, batch_bytes), parts(total, shard_bytes)
-        batch = F.pmod(F.xxhash64("key"), F.lit(self.batches))
+        batch = F.pmod(F.xxhash64("key", "text"), F.lit(self.batches)).alias("batch")
         digest = F.md5(F.col("text").cast("binary"))
         heads = texts.groupBy(digest.alias("digest")).agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        copies = texts.select("key", digest.alias("digest")).join(heads, "digest").where("key > first")
-        self.texts = texts.select("key", "text", batch.alias("batch"))
-        self.notes = copies.select(batch.alias("batch"), F.lit(COPIES).alias("level"), F.unhex(F.lpad(F.hex("key"), 16, "0")).alias("data"))
+        copies = texts.select("key", batch, digest.alias("digest")).join(heads, "digest").where("key > first")
+        self.texts = texts.select("key", "text", batch)
+        named = F.concat(F.unhex(F.lpad(F.hex("key"), 16, "0")), F.unhex("digest"))
+        self.notes = copies.select("batch", F.lit(COPIES).alias("level"), named.alias("data"))
 
     def answer(self, function: Callable, schema: str) -> DataFrame:
         """function(Batch) -> Arrow table, once for each batch."""
@@ -71,8 +74,10 @@ class Batch:
         self._notes: dict[int, list[bytes]] = {}
         for level, data in zip(notes["level"].to_pylist(), notes["data"].to_pylist(), strict=True):
             self._notes.setdefault(level, []).append(data)
-        named = self._notes.get(COPIES, [])
-        self.copies = set(np.frombuffer(b"".join(named), ">i8").tolist())
+        named = set(self._notes.get(COPIES, []))
+        heads = {n[:8] for n in named}
+        #: Whether each document is a copy of one with a smaller key.
+        self.copied = [(k8 := k.to_bytes(8, "big", signed=True)) in heads and k8 + hashlib.md5(t.encode()).digest() in named for k, t in rows]
 
     def notes(self, level: int) -> list[bytes]:
         return self._notes.get(level, [])

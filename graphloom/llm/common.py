@@ -27,6 +27,11 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     )
 
 
+def text_id(docs: DataFrame) -> Column:
+    """Tells texts of one id apart: a row is known by its key and this."""
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+
 def doc_id_of(key: Column) -> Column:
     """The inverse of the key: the null stand-in becomes null again."""
     return F.when(key != NULL_KEY, key)

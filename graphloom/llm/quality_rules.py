@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_id_of, keyed_texts, sliced, staged
+from .common import NULL_KEY, doc_id_of, keyed_texts, sliced, staged, text_id
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 WINDOW = 8
@@ -98,8 +98,9 @@ def _measure(batches):
             for key, text in zip(rows["key"].to_pylist(), rows["text"].to_pylist(), strict=True):
                 counts, features = statistics(text)
                 out.append((key, *counts, features))
-            columns = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [*STAT_NAMES, "features"])
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+            more = [n for n in rows.schema.names if n == "tid"]
+            yield pa.RecordBatch.from_arrays([*(rows[n] for n in more), *columns], [*more, *STAT_NAMES, "features"])
 
 
 class IsolationForest:
@@ -172,7 +173,12 @@ def calibrate(histogram, clean_loss: float) -> float | None:
 
 def judge(docs: DataFrame, labels: DataFrame, fit_rows: int = 8192, clean_loss: float = 0.002, seed: int = 7) -> DataFrame:
     """One row per document: the statistics, base_failed, the forest's score and kept."""
-    stats = staged(keyed_texts(docs).mapInArrow(_measure, SCHEMA), "quality")
+    return _judged(keyed_texts(docs), SCHEMA, labels, fit_rows, clean_loss, seed)
+
+
+def _judged(texts: DataFrame, schema: str, labels: DataFrame, fit_rows: int = 8192, clean_loss: float = 0.002, seed: int = 7) -> DataFrame:
+    """`judge` on keyed texts; a column tid, if they have it, comes out first."""
+    stats = staged(texts.mapInArrow(_measure, schema), "quality")
     marked = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("key")).agg(F.min("quality").alias("quality"))
     known = stats.join(marked, "key").select("key", "features", "quality")
     fit = known.where("quality = 1").orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(fit_rows).collect()
@@ -187,13 +193,14 @@ def judge(docs: DataFrame, labels: DataFrame, fit_rows: int = 8192, clean_loss:
             names = [n for n in rows.schema.names if n != "features"]
             yield pa.RecordBatch.from_arrays([*(rows[n] for n in names), pa.array(s, pa.float64())], [*names, "anomaly"])
 
-    scored = stats.mapInArrow(score, SCHEMA.rsplit(",", 1)[0] + ", anomaly double")
+    scored = stats.mapInArrow(score, schema.rsplit(",", 1)[0] + ", anomaly double")
     if forest is not None:
         bins = known.mapInArrow(score, "key long, quality int, anomaly double").groupBy("quality", F.least(F.floor(F.col("anomaly") * SCORE_BINS), F.lit(SCORE_BINS - 1)).cast("int").alias("bin")).count()
         cut = calibrate([tuple(r) for r in bins.collect()], clean_loss)
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     odd = F.lit(False) if cut is None else F.floor(F.col("anomaly") * SCORE_BINS) >= F.lit(round(cut * SCORE_BINS))
     return scored.select(
+        *(n for n in scored.columns if n == "tid"),
         doc_id_of(F.col("key")).alias("doc_id"),
         *STAT_NAMES[1:],
         base.alias("base_failed"),
@@ -203,9 +210,9 @@ def judge(docs: DataFrame, labels: DataFrame, fit_rows: int = 8192, clean_loss:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, that `judge` keeps; rows that share an id share a verdict.
-
-    Where rows of one id differ, the id goes only if all of them are rejected.
-    """
-    verdict = judge(docs, labels, **options).where("kept").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("__kept_key")).distinct()
-    return docs.join(verdict, F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1)) == F.col("__kept_key"), "left_semi")
+    """The rows of docs, all columns, that `judge` keeps; only rows of equal id and text share a verdict."""
+    texts = keyed_texts(docs).withColumn("tid", F.xxhash64("text"))
+    kept = _judged(texts, "tid long, " + SCHEMA, labels, **options).where("kept")
+    verdict = kept.select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("__kept_key"), F.col("tid").alias("__kept_tid")).distinct()
+    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_KEY))
+    return docs.join(verdict, (key == F.col("__kept_key")) & (text_id(docs) == F.col("__kept_tid")), "left_semi")

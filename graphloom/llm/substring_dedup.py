@@ -9,7 +9,8 @@ removed.  Seeds are judged by 64-bit hashes (a clash only lets a candidate live)
 128 bits.  Exact copies of a text are settled before: all their windows start earlier.
 
 Nulls: a null text has no words, a null doc_id sorts after all others and comes out as null.  Rows
-that repeat a doc_id are the same document: none of them is earlier than another with equal text.
+that repeat a doc_id (or have none) stand at the same place in the order, whatever their texts: a
+window goes if it starts at a smaller (doc_id, place), so the first one always stays.
 An empty table gives an empty result; extra columns are ignored.
 """
 
@@ -47,7 +48,7 @@ class Words:
         self.starts = self.ends - size
         self.total = int(self.ends[-1]) if len(size) else 0
         # Copies are settled; their words do not take part.
-        live = [k not in batch.copies for k in batch.keys]
+        live = [not c for c in batch.copied]
         flat = [w for words in self.words for w in words]
         self.h = np.fromiter(map(xxhash.xxh64_intdigest, flat), np.uint64, len(flat))
         self.doc = np.repeat(np.arange(len(size)), size)
@@ -162,8 +163,8 @@ def dedupe(docs: DataFrame, length: int = LENGTH, batch_bytes: int = 6 << 20, sh
         later = order[((every[2][first] != every[2][order]) | (every[3][first] != every[3][order])) & (order < len(at))]
         gone = covered(at[later], length, words.total)
         out = []
-        for k, own, a, b in zip(batch.keys, words.words, words.starts.tolist(), words.ends.tolist(), strict=True):
-            cut = np.full(b - a, b - a >= length) if k in batch.copies else gone[a:b]
+        for k, copied, own, a, b in zip(batch.keys, batch.copied, words.words, words.starts.tolist(), words.ends.tolist(), strict=True):
+            cut = np.full(b - a, b - a >= length) if copied else gone[a:b]
             n = int(cut.sum())
             kept = own if not n else [w for w, c in zip(own, cut.tolist(), strict=True) if not c]
             spans = int((np.diff(np.r_[0, cut.astype(np.int8)]) == 1).sum())

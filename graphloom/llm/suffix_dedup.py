@@ -14,8 +14,8 @@ region of up to 76 bytes.  Two rounds follow over batches of documents and shard
 Exact copies of a text are settled before both rounds.  No step holds more than a batch or a shard,
 and the sort spills to disk beyond its memory.
 
-Nulls: a null text is empty, a null doc_id sorts last and stays null.  Rows that repeat a doc_id are
-one document.  An empty table gives an empty result; extra columns are ignored.
+Nulls: a null text is empty, a null doc_id sorts last and stays null.  Rows that repeat a doc_id, or
+have none, may have different texts; none of them is earlier than another.  An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ class Regions:
 
     def __init__(self, batch: Batch, length: int):
         self.batch, self.length, self.most = batch, length, length - GRAM + 1
-        raw = [b"" if k in batch.copies else t.encode() for k, t in zip(batch.keys, batch.texts, strict=True)]
+        raw = [b"" if c else t.encode() for c, t in zip(batch.copied, batch.texts, strict=True)]
         self.text = np.frombuffer(b"".join(raw), np.uint8)
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         self.ends = size.cumsum()
@@ -295,8 +295,8 @@ def dedupe(docs: DataFrame, length: int = LENGTH, batch_bytes: int = 6 << 20, sh
         np.add.at(edges, at + n, -1)
         gone = edges.cumsum()[:-1] > 0
         out = []
-        for k, text, a, b in zip(batch.keys, batch.texts, r.starts.tolist(), r.ends.tolist(), strict=True):
-            if k in batch.copies:
+        for k, copied, text, a, b in zip(batch.keys, batch.copied, batch.texts, r.starts.tolist(), r.ends.tolist(), strict=True):
+            if copied:
                 raw = text.encode()
                 cut = len(raw) if len(raw) >= length else 0
                 out.append((k, len(raw), cut, int(cut > 0), hashlib.sha256(b"" if cut else raw).hexdigest()))

@@ -124,3 +124,12 @@ def test_near_duplicates(spark):
                 top[y] = x
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash_neardup.near_duplicates(frame(spark, docs)).collect()}
     assert got == {d: (f"{p:016x}", root(d)) for d, p in prints.items()}
+
+
+def test_keep_good_tells_rows_of_one_id_apart(spark):
+    rnd = random.Random(3)
+    good = [" ".join(rnd.choice("alpha beta gamma delta omega river stone".split()) + str(i) for i in range(k, k + 60)) for k in range(4)]
+    docs = [(None, good[0]), (None, "too short"), (None, good[1]), (5, "short too"), (5, good[2]), (6, good[3])]
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    kept = quality_rules.keep_good(frame(spark, docs), labels).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted((str(d), t) for d, t in docs if len(t.split()) >= 20)

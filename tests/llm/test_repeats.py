@@ -131,3 +131,27 @@ def test_banded_distance(spark):
     rows = [(a, b, distance(a, b)) for a in words for b in words if abs(len(a) - len(b)) <= 2]
     got = spark.createDataFrame(rows, "a string, b string, e int").withColumn("g", line_dedup.banded_distance(F.col("a"), F.col("b"), 2))
     assert got.where("(e <= 2 and g <> e) or (e > 2 and g <= 2)").count() == 0
+
+
+def shared_ids():
+    rnd = random.Random(12)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    copied, own, late, twin = text(60), text(60), text(60), text(60)
+    # Of the rows without an id, and of those with id 7, only one copies an earlier text.
+    return [(1, copied), (None, copied), (None, own), (None, text(70)), (7, copied), (7, twin), (8, twin), (7, late)]
+
+
+def test_substring_dedup_tells_rows_of_one_id_apart(spark):
+    docs = shared_ids()
+    for sizes in ({}, {"batch_bytes": 500, "shard_bytes": 500}):
+        rows = substring_dedup.dedupe(spark.createDataFrame(docs, "doc_id long, text string"), **sizes).collect()
+        got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in rows)
+        assert got == sorted((str(d), len(t.split()), len(t.split()) if (d, t) in (docs[1], docs[4], docs[6]) else 0) for d, t in docs)
+
+
+def test_suffix_dedup_tells_rows_of_one_id_apart(spark):
+    docs = shared_ids()
+    for sizes in ({}, {"batch_bytes": 500, "shard_bytes": 500}):
+        rows = suffix_dedup.dedupe(spark.createDataFrame(docs, "doc_id long, text string"), **sizes).collect()
+        got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"]) for r in rows)
+        assert got == sorted((str(d), len(t), len(t) if (d, t) in (docs[1], docs[4], docs[6]) else 0) for d, t in docs)
