@@ -7,10 +7,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import corpus_pipeline
 import public_tokenizers as P
 import xxhash
 
-from graphloom.llm import best_fit_packing, lm_scoring, quality_rules, secret_scan, simhash_neardup
+from graphloom.llm import best_fit_packing, lm_scoring, quality_rules, secret_scan, simhash_neardup, similar_sets
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
@@ -133,3 +134,40 @@ def test_keep_good_tells_rows_of_one_id_apart(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     kept = quality_rules.keep_good(frame(spark, docs), labels).collect()
     assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted((str(d), t) for d, t in docs if len(t.split()) >= 20)
+
+
+def test_pipeline_drops_pairs_of_similarity_point_eight(spark):
+    rnd = random.Random(21)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    docs = []
+    for i in range(60):
+        base = [rnd.choice(words) for _ in range(rnd.randrange(3, 120))]
+        docs.append((i if i % 9 else None, " ".join(base)))
+        for k in range(rnd.randrange(7)):  # a few words changed, or an end cut off
+            near = [w if rnd.random() > 0.006 * k else rnd.choice(words) for w in base][: len(base) - rnd.randrange(6)]
+            docs.append((1000 + 10 * i + k if (i + k) % 7 else None, " ".join(near)))
+    docs += [docs[4], (900, docs[7][1]), (None, docs[12][1]), (None, None), (None, ""), (2, None), (50, docs[30][1].upper())]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    rows = sorted({((2**63 - 1 if d is None else d), t or "") for d, t in docs})
+    sets = [shingles(t.lower().split()) for _, t in rows]
+    top = list(range(len(rows)))
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                top[y] = x
+    size, keys = Counter(map(root, range(len(rows)))), {}
+    for x, (k, _) in enumerate(rows):
+        keys.setdefault(root(x), []).append(k)
+    assert max(size.values()) > 3 and len(size) > 60
+    stage = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
+    for kept in (stage(spark, frame(spark, docs), ""), similar_sets.keep_first(frame(spark, docs), batch_bytes=3000, shard_bytes=4000, crowd=2)):
+        got = [(2**63 - 1 if r["doc_id"] is None else r["doc_id"], rows.index((2**63 - 1 if r["doc_id"] is None else r["doc_id"], r["text"] or ""))) for r in kept.collect()]
+        # One of each group stays, with the group's smallest id.
+        assert sorted(root(x) for _, x in got) == sorted(keys) and all(k == min(keys[root(x)]) for k, x in got)
