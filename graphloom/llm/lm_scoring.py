@@ -7,9 +7,9 @@ batch.  Words are told apart by 64-bit hashes.
 Model: texts (A-Z lowered) become ids of a public byte-level tokenizer and one end id.  One attention
 layer over classes of ids predicts the class of the next id; within the class the id follows counts
 given the class before it.  These counts cover every training document.  The attention weights are
-trained on windows spread over every training document (one in `spacing` ids), by rounds of local
-Adam steps in each partition whose weights are averaged, so the work grows with the corpus and
-nothing of its size reaches the driver.  Scoring cuts each document into overlapping windows and
+trained on consecutive windows over all ids of every training document, each id predicted once, by
+rounds of local Adam steps in each partition whose weights are averaged: a round takes its share of
+every document's windows.  The work grows with the corpus and nothing of its size reaches the driver.  Scoring cuts each document into overlapping windows and
 scores every id once, with at least `overlap` ids before it, in masked batches.
 
 Nulls: a null text is empty: one end token.  A null doc_id counts as empty text for the fold, sorts
@@ -79,35 +79,37 @@ def _tokenize(path: str, pattern: str):
     return run
 
 
-def _gather_counts(spacing: int):
-    """(before, id, n) of a partition's training documents, and training windows as (-1, -1, 0, ids)."""
-
-    def run(batches):
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        names, kinds = ["before", "id", "n", "data"], [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-        for batch in batches:
-            for rows in sliced(batch, 8 << 20):
-                windows, pairs = [], []
-                for key, data in zip(rows["key"].to_pylist(), rows["ids"].to_pylist(), strict=True):
-                    ids = np.concatenate([[END], np.frombuffer(data, np.uint16)]).astype(np.int64)
-                    pairs.append(ids[:-1] * IDS + ids[1:])
-                    n = len(ids)
-                    for k in range(0, n, spacing):
-                        free = max(1, min(spacing, n - k) - WINDOW)
-                        at = k + xxhash.xxh64_intdigest(f"{key}:{k}") % free
-                        w = ids[at : at + WINDOW + 1].astype(np.int32)
-                        windows.append(np.pad(w, (0, WINDOW + 1 - len(w)), constant_values=-1).tobytes())
-                new, n = np.unique(np.concatenate(pairs), return_counts=True)
-                both, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
-                counts = np.bincount(where, weights=np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
-                keys = both
-                none = pa.array([-1] * len(windows), pa.int32())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array([0] * len(windows), pa.int64()), pa.array(windows, pa.binary())], names)
-        for at in range(0, len(keys), 1 << 18):
-            k = keys[at : at + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(k // IDS, pa.int32()), pa.array(k % IDS, pa.int32()), pa.array(counts[at : at + len(k)]), pa.nulls(len(k), pa.binary())], names)
-
-    return run
+def _gather_counts(batches):
+    """(before, id, n) of a partition's training documents."""
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        for rows in sliced(batch, 8 << 20):
+            pairs = []
+            for data in rows["ids"].to_pylist():
+                ids = np.concatenate([[END], np.frombuffer(data, np.uint16)]).astype(np.int64)
+                pairs.append(ids[:-1] * IDS + ids[1:])
+            new, n = np.unique(np.concatenate(pairs), return_counts=True)
+            keys, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            counts = np.bincount(where, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
+    for at in range(0, len(keys), 1 << 18):
+        k = keys[at : at + (1 << 18)]
+        yield pa.RecordBatch.from_arrays([pa.array(k // IDS, pa.int32()), pa.array(k % IDS, pa.int32()), pa.array(counts[at : at + len(k)])], ["before", "id", "n"])
+
+
+def training_windows(each: list[np.ndarray], tids: np.ndarray, spacing: int, turn: int, rounds: int) -> np.ndarray:
+    """WINDOW + 1 ids from every `spacing`-th place of each document, -1 past its end; those of this round.
+
+    A window predicts all its ids but the first, so at spacing WINDOW every id of a document is
+    predicted once over all rounds.
+    """
+    size = np.fromiter(map(len, each), np.int64, len(each)) + 1
+    ids = np.concatenate([x for own in each for x in ([END], own)]).astype(np.int32)
+    ends = size.cumsum()
+    n = -(-(size - 1) // spacing)
+    number = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
+    mine = (np.repeat(tids % rounds, n) + number) % rounds == turn
+    at = (np.repeat(ends - size, n) + number * spacing)[mine, None] + np.arange(WINDOW + 1)
+    return np.where(at < np.repeat(ends, n)[mine, None], ids[np.minimum(at, len(ids) - 1)], -1)
 
 
 def classes(counts: np.ndarray, own: int, shared: int) -> np.ndarray:
@@ -252,17 +254,19 @@ def log_probabilities(model: Attention, cin, cout, table, ids: np.ndarray, start
     return out
 
 
-def fit(tokens: DataFrame, spacing: int = 512, rounds: int = 3, rate: float = 0.02):
+def fit(tokens: DataFrame, spacing: int = WINDOW, rounds: int = 3, rate: float = 0.02):
     """(model, input classes, output classes, log P(id | class, class before)) from the training fold."""
+    if not 0 < spacing <= WINDOW:
+        raise ValueError("windows further apart leave training ids out")
     spark = tokens.sparkSession
-    counted = _staged(tokens.where("not held").select("key", "ids").mapInArrow(_gather_counts(spacing), "before int, id int, n long, data binary"), "lm-counts")
+    counted = _staged(tokens.where("not held").select("ids").mapInArrow(_gather_counts, "before int, id int, n long"), "lm-counts")
     counts = np.zeros(IDS)
-    for r in counted.where("id >= 0").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most IDS rows
+    for r in counted.groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most IDS rows
         counts[r["id"]] = r["n"]
     cin, cout = classes(counts, *INPUT), classes(counts, *OUTPUT)
     n_in, n_out = sum(INPUT), sum(OUTPUT)
     names = F.broadcast(spark.createDataFrame([(i, int(c)) for i, c in enumerate(cin)], "before int, class int"))  # IDS rows
-    given = counted.where("id >= 0").join(names, "before").groupBy("class", "id").agg(F.sum("n").alias("n")).toArrow()  # classes x IDS rows at most
+    given = counted.join(names, "before").groupBy("class", "id").agg(F.sum("n").alias("n")).toArrow()  # classes x IDS rows at most
     pair = np.zeros((n_in, IDS), np.float32)
     pair[given["class"].to_numpy(), given["id"].to_numpy()] = given["n"].to_numpy()
     size = np.bincount(cout, minlength=n_out)
@@ -271,21 +275,23 @@ def fit(tokens: DataFrame, spacing: int = 512, rounds: int = 3, rate: float = 0.
         total = np.bincount(cout, weights=pair[row], minlength=n_out)
         pair[row] = np.log((pair[row] + PRIOR * plain) / (total + PRIOR)[cout])
     model = Attention.fresh()
-    windows = counted.where("data is not null").select("data")
+    learnt = tokens.where("not held").select("tid", "ids")
     for k in range(rounds):
 
-        def local(batches, model=model, rate=rate / (1 + k)):
+        def local(batches, model=model, rate=rate / (1 + k), turn=k):
             own, seen = Attention(model.w), 0
             for batch in batches:
-                rows = np.array([np.frombuffer(d, np.int32) for d in batch["data"].to_pylist()])
-                if len(rows):
-                    own.train(rows, cin, cout, rate)
-                    seen += len(rows)
+                for part in sliced(batch, 2 << 20):
+                    each = [np.frombuffer(d, np.uint16) for d in part["ids"].to_pylist()]
+                    rows = training_windows(each, part["tid"].to_numpy(), spacing, turn, rounds)
+                    if len(rows):
+                        own.train(rows, cin, cout, rate)
+                        seen += len(rows)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([own.packed()], pa.binary())], ["n", "weights"])
 
         # Weighted sums of the weights, element by element: partitions may be many, weights are few.
-        got = windows.mapInArrow(local, "n long, weights binary").withColumn("slot", F.pmod(F.xxhash64("weights"), F.lit(64)))
+        got = learnt.mapInArrow(local, "n long, weights binary").withColumn("slot", F.pmod(F.xxhash64("weights"), F.lit(64)))
         sums = got.groupBy("slot").applyInArrow(_weighted, "n long, weights binary").collect()  # 64 rows at most
         if sums:
             total_n = sum(r["n"] for r in sums)
@@ -422,7 +428,7 @@ def base_scores(docs: DataFrame, batch_bytes: int = 6 << 20, shard_bytes: int =
     return done.withColumn("train_tokens", F.lit(n_train).cast("long"))
 
 
-def score(docs: DataFrame, tokenizer_path: str, pattern: str, spacing: int = 512, rounds: int = 3) -> DataFrame:
+def score(docs: DataFrame, tokenizer_path: str, pattern: str, spacing: int = WINDOW, rounds: int = 3) -> DataFrame:
     """One row per document: base and model scores of its whole text."""
     tokens = _staged(keyed(docs).mapInArrow(_tokenize(tokenizer_path, pattern), TOKENS), "lm-tokens")
     fitted = fit(tokens, spacing, rounds)

@@ -1,5 +1,6 @@
 """LM scores, quality statistics, secrets, packing and near-duplicates against plain versions."""
 
+import inspect
 import math
 import random
 import re
@@ -171,3 +172,13 @@ def test_pipeline_drops_pairs_of_similarity_point_eight(spark):
         got = [(2**63 - 1 if r["doc_id"] is None else r["doc_id"], rows.index((2**63 - 1 if r["doc_id"] is None else r["doc_id"], r["text"] or ""))) for r in kept.collect()]
         # One of each group stays, with the group's smallest id.
         assert sorted(root(x) for _, x in got) == sorted(keys) and all(k == min(keys[root(x)]) for k, x in got)
+
+
+def test_attention_learns_every_training_id():
+    rng = np.random.default_rng(4)
+    each = [rng.integers(0, 50000, n).astype(np.uint16) for n in (1, 31, 32, 33, 64, 700)]
+    parts = [lm_scoring.training_windows(each, np.array([-5, 3, 8, 1, 0, 7]), lm_scoring.WINDOW, turn, 3) for turn in range(3)]
+    seen = Counter(x for p in parts for w in p for x in w[1:][w[1:] >= 0].tolist())
+    assert seen == Counter(x for ids in each for x in ids.tolist())
+    for f in (lm_scoring.fit, lm_scoring.score):
+        assert inspect.signature(f).parameters["spacing"].default == lm_scoring.WINDOW
