@@ -1,20 +1,25 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-A line of `min_chars` code points or more (spaces, tabs and carriage returns at its ends aside) goes
-if an equal line, or another line within `edits` edits, stands earlier: in a smaller doc_id, or
-higher up in the same document.  Lines are judged on the input, not on what is left; shorter lines
-stay.
+A line (spaces, tabs and carriage returns at its ends aside) goes if an equal line stands earlier: in
+a smaller doc_id, or higher up in the same document.  A line of `near_chars` code points or more also
+goes if another line within `edits` edits stands earlier; in shorter ones two edits make another
+line.  Lines are judged on the input, not on what is left; blank lines stay.
 
 Lines are split into edits + 1 even segments.  If two lines are within `edits` edits, one segment of
 the shorter stands unchanged in the longer, near its own place; the places that must be probed for
-each length difference follow from which segments may have been hit before and after it.  Index and
-probe entries are (hash of segment number, length and substring; hash of the line): each distinct
-line enters once, however often it occurs.  Pairs that meet are verified by the banded bit-parallel
-distance, whose 2 * edits + 1 bits hold the diagonals that matter.
+each length difference follow from which segments may have been hit before and after it.  Keys at
+which different lines meet are found by aggregation, and only their lines are looked at again.
+
+Work on a key is in proportion to its lines, however many they are.  Each line is first verified
+against the earliest line of each of its keys: a group of near copies is settled there.  Lines not
+settled look for any earlier line of their keys in a semi-join, which gives at most one row a line.
+Verification is the banded bit-parallel distance, whose 2 * edits + 1 bits hold the diagonals that
+matter; ends that two lines share are cut off before it.
 
 Nulls: a null text has no lines and stays null; a null doc_id sorts last and stays null.  Rows that
-repeat id and text are one document: neither is earlier than the other.  An empty table gives an
-empty one; `drop_lines` keeps extra columns.
+repeat id and text are one document: neither is earlier than the other.  Very long texts and lines
+are taken whole.  An empty table gives an empty one; `drop_lines` keeps extra columns, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -24,8 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import NULL_KEY, doc_id_of, keyed_texts, staged
 
-EDITS, MIN_CHARS = 2, 20
-#: Candidate lines whose hashes may be broadcast (24 bytes each); beyond, they are shuffled.
+EDITS, NEAR_CHARS = 2, 20
+#: Pieces of a line of which all but `edits` must stand in a near one.
+PIECES = 8
+#: Keys or lines whose hashes may be broadcast (24 bytes each); beyond, they are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -33,10 +40,10 @@ def trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r"))
 
 
-def occurrences(texts: DataFrame, min_chars: int) -> DataFrame:
-    """(key, tid, line_no, line) of all lines long enough; tid tells texts of one id apart."""
+def occurrences(texts: DataFrame) -> DataFrame:
+    """(key, tid, line_no, line) of all lines that are not blank; tid tells texts of one id apart."""
     lines = texts.select("key", F.xxhash64("text").alias("tid"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.withColumn("line", trimmed(F.col("line"))).where(F.char_length("line") >= min_chars)
+    return lines.withColumn("line", trimmed(F.col("line"))).where(F.col("line") != "")
 
 
 def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
@@ -46,12 +53,12 @@ def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
     return [(edge[k] + 1, edge[k + 1] - edge[k]) for k in range(n)]
 
 
-def index_keys(line: Column, edits: int) -> Column:
+def index_keys(line: Column, edits: int) -> list[Column]:
     size = F.char_length(line)
-    return F.array(*[F.xxhash64(F.lit(i), size, F.substring(line, start, n)) for i, (start, n) in enumerate(segments(size, edits))])
+    return [F.xxhash64(F.lit(i), size, F.substring(line, start, n)) for i, (start, n) in enumerate(segments(size, edits))]
 
 
-def probe_keys(line: Column, edits: int) -> Column:
+def probe_keys(line: Column, edits: int) -> list[Column]:
     """Keys of the substrings at which a segment of a line shorter by 0 to `edits` may stand.
 
     Segment i starts at p there.  At most i - 1 edits before it and edits - i + 1 after it need be
@@ -63,7 +70,7 @@ def probe_keys(line: Column, edits: int) -> Column:
         for i, (start, n) in enumerate(segments(size, edits)):
             low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
             out += [F.xxhash64(F.lit(i), size, F.substring(line, start + shift, n)) for shift in range(low, high + 1)]
-    return F.array(*out)
+    return out
 
 
 def banded_distance(pattern: Column, text: Column, edits: int) -> Column:
@@ -110,37 +117,69 @@ def _once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def candidates(lines: DataFrame, edits: int) -> DataFrame:
-    """(a, b) line hashes of distinct lines that share a segment where it may stand."""
-    line = F.col("line")
-    index = lines.select(F.explode(index_keys(line, edits)).alias("at"), F.xxhash64("line").alias("a")).distinct()
-    probe = lines.select(F.explode(probe_keys(line, edits)).alias("at"), F.xxhash64("line").alias("b")).distinct()
-    met = index.join(probe, "at").where("a <> b")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def links(lines: DataFrame, edits: int) -> DataFrame:
-    """Pairs of different lines within `edits`: ids, first places and distance; a stands earlier."""
-    pairs = staged(candidates(lines, edits), "line-pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    n = named.count()
-    named = F.broadcast(named) if n <= BROADCAST_ROWS else named
-    found = lines.withColumn("lid", F.xxhash64("line")).join(named, "lid", "left_semi")
-    texts = staged(found.groupBy("lid", "line").agg(F.min(F.struct("key", "line_no", "tid")).alias("first")), "line-texts")
-    a = texts.select(F.col("lid").alias("a"), F.col("line").alias("line_a"), F.col("first").alias("first_a"))
-    b = texts.select(F.col("lid").alias("b"), F.col("line").alias("line_b"), F.col("first").alias("first_b"))
-    both = pairs.join(a, "a").join(b, "b").where(F.abs(F.char_length("line_a") - F.char_length("line_b")) <= edits)
-    near = both.withColumn("edits", banded_distance(F.col("line_a"), F.col("line_b"), edits)).where(F.col("edits") <= edits)
-    swap = F.col("first_b") < F.col("first_a")
-    one, other = F.struct(F.md5("line_a").alias("id"), F.col("first_a").alias("first")), F.struct(F.md5("line_b").alias("id"), F.col("first_b").alias("first"))
-    return near.select(F.when(swap, other).otherwise(one).alias("early"), F.when(swap, one).otherwise(other).alias("late"), "edits")
+def is_near(a: Column, b: Column, edits: int) -> Column:
+    """Whether two lines, of 2 * edits + 2 characters or more, are within `edits` edits."""
+    sizes = F.struct(F.char_length(a).alias("a"), F.char_length(b).alias("b"), F.least(F.char_length(a), F.char_length(b)).alias("least"))
+    pieces = [F.substring(a, F.floor(F.char_length(a) * i / PIECES).cast("int") + 1, F.floor(F.char_length(a) * (i + 1) / PIECES).cast("int") - F.floor(F.char_length(a) * i / PIECES).cast("int")) for i in range(PIECES)]
+    # An edit spoils one piece at most.
+    plausible = sum((F.when(F.contains(b, x), 1).otherwise(0) for x in pieces), F.lit(0)) >= PIECES - edits
+
+    def core(s: Column) -> Column:
+        rest = 2 * edits  # what stays of the shorter line at least
+        steps = [F.floor((s["least"] - rest) * i / PIECES).cast("int") for i in range(PIECES + 1)]
+        front = F.greatest(*[F.when(F.substring(a, F.lit(1), n) == F.substring(b, F.lit(1), n), n).otherwise(0) for n in steps])
+        back = F.greatest(*[F.when((n > 0) & (F.substring(a, s["a"] - n + 1, n) == F.substring(b, s["b"] - n + 1, n)), n).otherwise(0) for n in steps])
+        return _once(F.struct(s["a"].alias("a"), s["b"].alias("b"), s["least"].alias("least"), front.alias("front"), back.alias("back")), cut)
+
+    def cut(s: Column) -> Column:
+        back = F.least(s["back"], s["least"] - 2 * edits - s["front"])
+        own = lambda line, size: F.substring(line, s["front"] + 1, size - s["front"] - back)
+        return banded_distance(own(a, s["a"]), own(b, s["b"]), edits) <= edits
 
+    return (F.abs(F.char_length(a) - F.char_length(b)) <= edits) & plausible & _once(sizes, core)
 
-def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast hashes if they are few; a staged table is counted from its footers."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def meetings(lines: DataFrame, edits: int) -> DataFrame:
+    """(at, probe, lid): the lines of each key at which different lines meet, on its either side."""
+    line = F.col("line")
+    keys = [F.struct(k.alias("at"), F.lit(probe).alias("probe")) for probe, ks in ((0, index_keys(line, edits)), (1, probe_keys(line, edits))) for k in ks]
+    entries = lines.select(F.xxhash64("line").alias("lid"), F.inline(F.array(*keys)))
+    sides = entries.groupBy("at").agg(F.min("lid").alias("low"), F.max("lid").alias("high"), F.min("probe").alias("p"), F.max("probe").alias("q"))
+    shared = staged(sides.where("low < high and p < q").select("at"), "line-keys")
+    return staged(entries.join(_small(shared), "at").distinct(), "line-meetings")
+
+
+def late_lines(lines: DataFrame, edits: int) -> DataFrame:
+    """(id) of the lines to which another line within `edits` stands earlier; id is the line's md5."""
+    met = meetings(lines, edits)
+    named = staged(met.select("lid").distinct(), "line-names")
+    found = lines.withColumn("lid", F.xxhash64("line")).join(_small(named), "lid", "left_semi")
+    texts = staged(found.groupBy("lid", "line").agg(F.min(F.struct("key", "line_no", "tid")).alias("first")), "line-texts")
+    members = staged(met.join(texts, "lid"), "line-members")
+    heads = members.groupBy("at", "probe").agg(F.min(F.struct("first", "line")).alias("head"), F.count(F.lit(1)).alias("n"))
+    heads = heads.select("at", (1 - F.col("probe")).alias("probe"), F.col("head.first").alias("head_first"), F.col("head.line").alias("head_line"), "n")
+    facing = staged(members.join(heads, ["at", "probe"]).where(F.col("head_first") < F.col("first")), "line-facing")
+    pairs = facing.select("line", "head_line").distinct()
+    line_id = F.unhex(F.md5("line")).alias("id")
+    settled = staged(pairs.where(is_near(F.col("head_line"), F.col("line"), edits)).select(line_id).distinct(), "line-settled")
+    rest = facing.where("n > 1").withColumn("id", line_id).join(settled, "id", "left_anti").select("at", "probe", "first", "line")
+    early = members.select(F.col("at").alias("at_a"), (1 - F.col("probe")).alias("probe_a"), F.col("first").alias("first_a"), F.col("line").alias("line_a"))
+    same = (F.col("at") == F.col("at_a")) & (F.col("probe") == F.col("probe_a"))
+    later = rest.join(early, same & (F.col("first_a") < F.col("first")) & is_near(F.col("line_a"), F.col("line"), edits), "left_semi")
+    return settled.union(later.select(line_id)).distinct()
+
+
+def removed_lines(docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS) -> DataFrame:
     """(key, tid, removed, n_exact, n_near): line numbers from 0 that go, of texts that lose any."""
-    texts = keyed_texts(docs)
-    lines = occurrences(texts, min_chars)
-    late = links(lines, edits).select(F.unhex("late.id").alias("id")).distinct().withColumn("near", F.lit(True))
+    if near_chars < 2 * edits + 2:
+        raise ValueError("lines this short are within the threshold of nearly anything")
+    lines = occurrences(keyed_texts(docs))
+    late = late_lines(lines.where(F.char_length("line") >= near_chars), edits).withColumn("near", F.lit(True))
     placed = lines.select(F.unhex(F.md5("line")).alias("id"), "key", "line_no", "tid")
     first = placed.groupBy("id").agg(F.min(F.struct("key", "line_no", "tid")).alias("first"), F.count(F.lit(1)).alias("n"))
     classes = staged(first.join(late, "id", "left").where("n > 1 or near").select("id", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-classes")
@@ -155,9 +194,9 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     )
 
 
-def line_report(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_report(docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS) -> DataFrame:
     """Per document its number of lines, how many go as equal or near ones, and their numbers from 0."""
-    found = removed_lines(docs, edits, min_chars)
+    found = removed_lines(docs, edits, near_chars)
     texts = keyed_texts(docs).select("key", F.xxhash64("text").alias("tid"), F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"))
     all_ = texts.join(found, ["key", "tid"], "left")
     none = F.lit(0).cast("long")
@@ -170,9 +209,9 @@ def line_report(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     )
 
 
-def drop_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def drop_lines(docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS) -> DataFrame:
     """The documents, all columns, without the lines that go; n_chars follows the text."""
-    found = removed_lines(docs, edits, min_chars).select(F.col("key").alias("__key"), F.col("tid").alias("__tid"), F.col("removed").alias("__removed"))
+    found = removed_lines(docs, edits, near_chars).select(F.col("key").alias("__key"), F.col("tid").alias("__tid"), F.col("removed").alias("__removed"))
     key, tid = F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_KEY)), F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     joined = docs.join(found, (key == F.col("__key")) & (tid == F.col("__tid")), "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__removed", i)), "\n")
