@@ -46,33 +46,30 @@ def occurrences(texts: DataFrame) -> DataFrame:
     return lines.withColumn("line", trimmed(F.col("line"))).where(F.col("line") != "")
 
 
-def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start from 1, size) of the even segments of a line of this length."""
-    n = edits + 1
-    edge = [F.floor(length * k / n).cast("int") for k in range(n + 1)]
-    return [(edge[k] + 1, edge[k + 1] - edge[k]) for k in range(n)]
+def places(edits: int) -> list[tuple[bool, int, int, int]]:
+    """(probe, less, segment, shift): where an index key, or a probe for a line shorter by `less`, is cut out.
 
-
-def index_keys(line: Column, edits: int) -> list[Column]:
-    size = F.char_length(line)
-    return [F.xxhash64(F.lit(i), size, F.substring(line, start, n)) for i, (start, n) in enumerate(segments(size, edits))]
-
-
-def probe_keys(line: Column, edits: int) -> list[Column]:
-    """Keys of the substrings at which a segment of a line shorter by 0 to `edits` may stand.
-
-    Segment i starts at p there.  At most i - 1 edits before it and edits - i + 1 after it need be
-    tried: were it more, another segment would be unchanged too.
+    At most `segment` edits before a segment and edits - segment after it need be tried: were it more,
+    another segment would be unchanged too.
     """
-    out = []
+    out = [(False, 0, i, 0) for i in range(edits + 1)]
     for less in range(edits + 1):
-        size = F.char_length(line) - less
-        for i, (start, n) in enumerate(segments(size, edits)):
+        for i in range(edits + 1):
             low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
-            out += [F.xxhash64(F.lit(i), size, F.substring(line, start + shift, n)) for shift in range(low, high + 1)]
+            out += [(True, less, i, shift) for shift in range(low, high + 1)]
     return out
 
 
+def keyed_lines(lines: DataFrame, edits: int) -> DataFrame:
+    """(lid, probe, at): a row for each key of each line; at is the hash of segment number, length and substring."""
+    each = F.array(*[F.struct(*(F.lit(v).alias(n) for n, v in zip(("probe", "less", "i", "shift"), place, strict=True))) for place in places(edits)])
+    rows = lines.select("line", F.xxhash64("line").alias("lid"), F.char_length("line").alias("length")).select("*", F.inline(each))
+    size = F.col("length") - F.col("less")
+    edge = lambda i: F.floor(size * i / (edits + 1)).cast("int")
+    piece = F.substring("line", edge(F.col("i")) + 1 + F.col("shift"), edge(F.col("i") + 1) - edge(F.col("i")))
+    return rows.select("lid", "probe", F.xxhash64("i", size, piece).alias("at"))
+
+
 def banded_distance(pattern: Column, text: Column, edits: int) -> Column:
     """Edit distance if it is at most `edits`, else some larger number, for lengths that differ by no more.
 
@@ -139,6 +136,11 @@ def is_near(a: Column, b: Column, edits: int) -> Column:
     return (F.abs(F.char_length(a) - F.char_length(b)) <= edits) & plausible & _once(sizes, core)
 
 
+def line_id() -> tuple[Column, Column]:
+    """128 bits that name a line."""
+    return F.xxhash64("line").alias("id"), F.xxhash64(F.lit("line"), "line").alias("id2")
+
+
 def _small(df: DataFrame) -> DataFrame:
     """Broadcast hashes if they are few; a staged table is counted from its footers."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -146,32 +148,29 @@ def _small(df: DataFrame) -> DataFrame:
 
 def meetings(lines: DataFrame, edits: int) -> DataFrame:
     """(at, probe, lid): the lines of each key at which different lines meet, on its either side."""
-    line = F.col("line")
-    keys = [F.struct(k.alias("at"), F.lit(probe).alias("probe")) for probe, ks in ((0, index_keys(line, edits)), (1, probe_keys(line, edits))) for k in ks]
-    entries = lines.select(F.xxhash64("line").alias("lid"), F.inline(F.array(*keys)))
-    sides = entries.groupBy("at").agg(F.min("lid").alias("low"), F.max("lid").alias("high"), F.min("probe").alias("p"), F.max("probe").alias("q"))
-    shared = staged(sides.where("low < high and p < q").select("at"), "line-keys")
+    entries = keyed_lines(lines, edits)
+    ends = entries.groupBy("at").agg(F.min("lid").alias("low"), F.max("lid").alias("high"))
+    shared = staged(ends.where("low < high").select("at"), "line-keys")
     return staged(entries.join(_small(shared), "at").distinct(), "line-meetings")
 
 
 def late_lines(lines: DataFrame, edits: int) -> DataFrame:
-    """(id) of the lines to which another line within `edits` stands earlier; id is the line's md5."""
+    """(id, id2) of the lines to which another line within `edits` stands earlier."""
     met = meetings(lines, edits)
     named = staged(met.select("lid").distinct(), "line-names")
     found = lines.withColumn("lid", F.xxhash64("line")).join(_small(named), "lid", "left_semi")
     texts = staged(found.groupBy("lid", "line").agg(F.min(F.struct("key", "line_no", "tid")).alias("first")), "line-texts")
     members = staged(met.join(texts, "lid"), "line-members")
     heads = members.groupBy("at", "probe").agg(F.min(F.struct("first", "line")).alias("head"), F.count(F.lit(1)).alias("n"))
-    heads = heads.select("at", (1 - F.col("probe")).alias("probe"), F.col("head.first").alias("head_first"), F.col("head.line").alias("head_line"), "n")
+    heads = heads.select("at", (~F.col("probe")).alias("probe"), F.col("head.first").alias("head_first"), F.col("head.line").alias("head_line"), "n")
     facing = staged(members.join(heads, ["at", "probe"]).where(F.col("head_first") < F.col("first")), "line-facing")
     pairs = facing.select("line", "head_line").distinct()
-    line_id = F.unhex(F.md5("line")).alias("id")
-    settled = staged(pairs.where(is_near(F.col("head_line"), F.col("line"), edits)).select(line_id).distinct(), "line-settled")
-    rest = facing.where("n > 1").withColumn("id", line_id).join(settled, "id", "left_anti").select("at", "probe", "first", "line")
-    early = members.select(F.col("at").alias("at_a"), (1 - F.col("probe")).alias("probe_a"), F.col("first").alias("first_a"), F.col("line").alias("line_a"))
+    settled = staged(pairs.where(is_near(F.col("head_line"), F.col("line"), edits)).select(*line_id()).distinct(), "line-settled")
+    rest = facing.where("n > 1").select("*", *line_id()).join(settled, ["id", "id2"], "left_anti").select("at", "probe", "first", "line")
+    early = members.select(F.col("at").alias("at_a"), (~F.col("probe")).alias("probe_a"), F.col("first").alias("first_a"), F.col("line").alias("line_a"))
     same = (F.col("at") == F.col("at_a")) & (F.col("probe") == F.col("probe_a"))
     later = rest.join(early, same & (F.col("first_a") < F.col("first")) & is_near(F.col("line_a"), F.col("line"), edits), "left_semi")
-    return settled.union(later.select(line_id)).distinct()
+    return settled.union(later.select(*line_id())).distinct()
 
 
 def removed_lines(docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS) -> DataFrame:
@@ -180,10 +179,15 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CH
         raise ValueError("lines this short are within the threshold of nearly anything")
     lines = occurrences(keyed_texts(docs))
     late = late_lines(lines.where(F.char_length("line") >= near_chars), edits).withColumn("near", F.lit(True))
-    placed = lines.select(F.unhex(F.md5("line")).alias("id"), "key", "line_no", "tid")
-    first = placed.groupBy("id").agg(F.min(F.struct("key", "line_no", "tid")).alias("first"), F.count(F.lit(1)).alias("n"))
-    classes = staged(first.join(late, "id", "left").where("n > 1 or near").select("id", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-classes")
-    gone = placed.join(classes, "id").where(F.col("near") | (F.struct("key", "line_no", "tid") > F.col("first")))
+    placed = lines.select(*line_id(), "key", "line_no", "tid")
+    # The least key is all that every line needs; places within a key matter to repeated lines alone.
+    ids = ["id", "id2"]
+    classes = placed.groupBy(*ids).agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).join(late, ids, "left")
+    classes = staged(classes.where("n > 1 or near").select(*ids, "least", F.coalesce("near", F.lit(False)).alias("near")), "line-classes")
+    again = staged(placed.join(_small(classes), ids), "line-repeats")
+    heads = again.where("key = least and not near").groupBy(*ids).agg(F.min(F.struct("line_no", "tid")).alias("head"))
+    held = F.col("head").isNotNull() & (F.struct("line_no", "tid") == F.col("head")) & (F.col("key") == F.col("least"))
+    gone = again.join(heads, ids, "left").where(F.col("near") | ~held)
     marks = gone.groupBy("key", "tid").agg(F.collect_set(F.struct("line_no", "near")).alias("marks"))
     return marks.select(
         "key",
