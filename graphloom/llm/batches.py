@@ -108,14 +108,13 @@ def send_hashes(values: np.ndarray, shards: int):
 
 
 def deal(hashes: np.ndarray, shards: int, *columns: np.ndarray):
-    """(shard, packed columns) pairs; hashes rise within a shard as they do in the input."""
+    """(shard, packed columns) pairs of the shards met; hashes rise within a shard as they do in the input."""
     shard = ((hashes >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
-    edges = np.searchsorted(shard[order], np.arange(shards + 1))
-    for s in range(shards):
-        at = order[edges[s] : edges[s + 1]]
-        if len(at):
-            yield s, b"".join(c[at].tobytes() for c in columns)
+    edges = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        at = order[a:b]
+        yield int(shard[at[0]]), b"".join(c[at].tobytes() for c in columns)
 
 
 def reply_repeated(rows: list[tuple[int, bytes]]):

@@ -1,20 +1,26 @@
 """LM scoring: a causal self-attention model in numpy on subword ids, beside a smoothed unigram base.
 
-Base: word counts of the training documents are summed in shards of the hash space; each batch of
-documents asks the shards for the counts of its distinct words, so a frequent word costs one entry a
-batch.  Words are told apart by 64-bit hashes.
-
-Model: texts (A-Z lowered) become ids of a public byte-level tokenizer and one end id.  One attention
-layer over classes of ids predicts the class of the next id; within the class the id follows counts
-given the class before it.  These counts cover every training document.  The attention weights are
-trained on consecutive windows over all ids of every training document, each id predicted once, by
-rounds of local Adam steps in each partition whose weights are averaged: a round takes its share of
-every document's windows.  The work grows with the corpus and nothing of its size reaches the driver.  Scoring cuts each document into overlapping windows and
-scores every id once, with at least `overlap` ids before it, in masked batches.
+Documents (A-Z lowered) are dealt by id and text into units of a bounded size, which depend on the
+corpus alone.  A unit is packed once into a row: its distinct words, the numbers of its words, and
+the ids of a public byte-level tokenizer for them, each document closed by an end id.
+
+Base: each unit sends the hashes of its distinct words, with their training counts, to shards of the
+hash space; a shard adds up and answers every unit, so a frequent word costs one entry a unit.  Words
+are told apart by 64-bit hashes.
+
+Model: one attention layer over classes of ids predicts the class of the next id; within the class
+the id follows counts given the class before it.  These counts cover every training document.  The
+attention weights are trained on consecutive windows over all ids of every training document, each id
+predicted once, by rounds of local Adam steps in each unit whose weights are averaged: a round takes
+its share of every document's windows.  Units and the exact sums of their weights do not depend on
+how Spark cuts the table, nor do the scores.  The work grows with the corpus and nothing of its size
+reaches the driver.  Scoring cuts each document into overlapping windows and scores every id once,
+with at least `OVERLAP` ids before it, in masked batches.
 
 Nulls: a null text is empty: one end token.  A null doc_id counts as empty text for the fold, sorts
-last and stays null.  Repeated rows each count and get a row.  An empty table gives an empty result;
-extra columns are ignored.  Texts are scored whole.
+last and stays null.  Repeated rows each count and get a row; ties between frequent ids fall to the
+smaller id.  An empty table gives an empty result; extra columns are ignored.  Texts are scored
+whole, however long: a unit holds its longest text at least.
 """
 
 from __future__ import annotations
@@ -30,7 +36,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, doc_id_of, parts, release, shared_dir, sliced, text_bytes
+from .batches import deal
+from .common import NULL_KEY, doc_id_of, parts, release, shared_dir, text_bytes
 
 END, IDS = 50256, 50257
 #: Input classes (own, shared) and output classes (own, shared) of ids by frequency.
@@ -38,23 +45,51 @@ INPUT, OUTPUT = (144, 48), (48, 16)
 WIDTH, WINDOW, OVERLAP = 16, 32, 8
 #: Weight of the plain class distribution against counts given the class before.
 PRIOR = 5.0
-TOKENS = "key long, tid long, held boolean, ids binary"
+#: Distinct words whose ids a worker remembers.
+REMEMBERED = 400_000
+#: Weights are added up as whole multiples of this, so that sums do not depend on their order.
+GRAIN = 2.0**-20
+#: Windows scored at once: their arrays stay within a core's cache.
+BLOCK = 128
+#: A unit: documents (keys, tids, held, sizes in words, lengths in ids), then words and ids end to end.
+PACKED = "unit long, keys binary, held binary, sizes binary, lengths binary, words binary, hashes binary, counts binary, ids binary"
+SCORES = "key long, held boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+class WordIds:
+    """Ids of words, each encoded once with a space before it while there is room to remember it."""
+
+    def __init__(self, path: str, pattern: str):
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.encode = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.known: dict[bytes, bytes] = {}
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words end to end, ids per word)."""
+        known, encode, out = self.known, self.encode, []
+        for w in words:
+            ids = known.get(w)
+            if ids is None:
+                ids = np.array(encode(" " + w.decode()), np.uint16).tobytes()
+                if len(known) < REMEMBERED:
+                    known[w] = ids
+            out.append(ids)
+        return np.frombuffer(b"".join(out), np.uint16), np.fromiter(map(len, out), np.int64, len(out)) // 2
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, pattern: str):
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+def word_ids(path: str, pattern: str) -> WordIds:
+    """One for each worker process: its tasks share what it remembers."""
+    return WordIds(path, pattern)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(key, tid, held, text): tid tells texts of one id apart; held marks the fold not learnt from."""
-    text = F.coalesce(docs["text"], F.lit(""))
+    """(key, held, text): held marks the fold not learnt from."""
     fold = F.crc32(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary")) % 5
-    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_KEY)).alias("key"), F.xxhash64(text).alias("tid"), (fold == 1).alias("held"), text.alias("text"))
+    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_KEY)).alias("key"), (fold == 1).alias("held"), F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 
 def _staged(df: DataFrame, label: str) -> DataFrame:
@@ -68,27 +103,57 @@ def _staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _tokenize(path: str, pattern: str):
-    def run(batches):
-        encode = encoder(path, pattern).encode_to_numpy
-        for batch in batches:
-            for rows in sliced(batch, 4 << 20):
-                ids = [np.append(encode(t.encode().lower().decode(), disallowed_special=()), END).astype(np.uint16).tobytes() for t in rows["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([rows["key"], rows["tid"], rows["held"], pa.array(ids, pa.binary())], ["key", "tid", "held", "ids"])
+def _pack(path: str, pattern: str):
+    def run(rows: pa.Table) -> pa.Table:
+        docs = sorted(zip(rows["key"].to_pylist(), rows["text"].to_pylist(), rows["held"].to_pylist(), strict=True))
+        split = [t.encode().lower().split() for _, t, _ in docs]
+        number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+        size = np.fromiter(map(len, split), np.int64, len(split))
+        words = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(size.sum()))
+        held = np.array([h for _, _, h in docs], bool)
+        learnt = np.bincount(words[np.repeat(~held, size)], minlength=len(number))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
+        ids, each = word_ids(path, pattern)(list(number))
+        # The end comes after each document's words, as one more word.
+        ids, each = np.append(ids, np.uint16(END)), np.append(each, 1)
+        ends = (size + 1).cumsum() - 1
+        flat = np.full(len(words) + len(docs), len(number), np.int64)
+        inner = np.ones(len(flat), bool)
+        inner[ends] = False
+        flat[inner] = words
+        n = each[flat]
+        upto = n.cumsum()
+        text_ids = ids[np.repeat((each.cumsum() - each)[flat] - (upto - n), n) + np.arange(int(upto[-1]))]
+        lengths = np.diff(np.r_[0, upto[ends]])
+        small = np.uint16 if len(number) < 1 << 16 else np.uint32
+        out = (np.array([k for k, _, _ in docs], np.int64), held, size, lengths, words.astype(small), hashes, learnt.astype(np.int64), text_ids.astype(np.uint16))
+        names = PACKED.replace(" long", "").replace(" binary", "").split(", ")
+        return pa.table([rows["unit"].slice(0, 1), *(pa.array([x.tobytes()], pa.binary()) for x in out)], names)
 
     return run
 
 
+def packed(docs: DataFrame, tokenizer_path: str, pattern: str, unit_bytes: int) -> DataFrame:
+    texts = keyed(docs)
+    units = parts(text_bytes(docs), unit_bytes)
+    dealt = texts.withColumn("unit", F.pmod(F.xxhash64("key", "text"), F.lit(units)))
+    return _staged(dealt.groupBy("unit").applyInArrow(_pack(tokenizer_path, pattern), PACKED), "lm-units")
+
+
+def _array(cell, kind) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer(), kind)
+
+
 def _gather_counts(batches):
     """(before, id, n) of a partition's training documents."""
     keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in batches:
-        for rows in sliced(batch, 8 << 20):
-            pairs = []
-            for data in rows["ids"].to_pylist():
-                ids = np.concatenate([[END], np.frombuffer(data, np.uint16)]).astype(np.int64)
-                pairs.append(ids[:-1] * IDS + ids[1:])
-            new, n = np.unique(np.concatenate(pairs), return_counts=True)
+    for rows in batches:
+        for ids, lengths, held in zip(rows["ids"], rows["lengths"], rows["held"], strict=True):
+            size = _array(lengths, np.int64)
+            ids = _array(ids, np.uint16).astype(np.int64)
+            before = np.r_[END, ids[:-1]]
+            before[size.cumsum() - size] = END
+            new, n = np.unique((before * IDS + ids)[np.repeat(~_array(held, bool), size)], return_counts=True)
             keys, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
             counts = np.bincount(where, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
     for at in range(0, len(keys), 1 << 18):
@@ -96,20 +161,22 @@ def _gather_counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(k // IDS, pa.int32()), pa.array(k % IDS, pa.int32()), pa.array(counts[at : at + len(k)])], ["before", "id", "n"])
 
 
-def training_windows(each: list[np.ndarray], tids: np.ndarray, spacing: int, turn: int, rounds: int) -> np.ndarray:
-    """WINDOW + 1 ids from every `spacing`-th place of each document, -1 past its end; those of this round.
+def training_windows(ids: np.ndarray, lengths: np.ndarray, learn: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """WINDOW + 1 ids from every WINDOW-th place of each document to learn from, -1 past its end; those of this round.
 
-    A window predicts all its ids but the first, so at spacing WINDOW every id of a document is
-    predicted once over all rounds.
+    A window predicts all its ids but the first, so every id of a document is predicted once over all
+    rounds.
     """
-    size = np.fromiter(map(len, each), np.int64, len(each)) + 1
-    ids = np.concatenate([x for own in each for x in ([END], own)]).astype(np.int32)
-    ends = size.cumsum()
-    n = -(-(size - 1) // spacing)
+    starts = lengths.cumsum() - lengths
+    n = np.where(learn, -(-lengths // WINDOW), 0)
     number = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
-    mine = (np.repeat(tids % rounds, n) + number) % rounds == turn
-    at = (np.repeat(ends - size, n) + number * spacing)[mine, None] + np.arange(WINDOW + 1)
-    return np.where(at < np.repeat(ends, n)[mine, None], ids[np.minimum(at, len(ids) - 1)], -1)
+    mine = (np.repeat(np.arange(len(n)), n) + number) % rounds == turn
+    # Places count from the end id that stands before each document.
+    at = (number * WINDOW)[mine, None] + np.arange(WINDOW + 1)
+    out = ids[np.clip(np.repeat(starts, n)[mine, None] + at - 1, 0, len(ids) - 1)].astype(np.int32)
+    out[at == 0] = END
+    out[at > np.repeat(lengths, n)[mine, None]] = -1
+    return out
 
 
 def classes(counts: np.ndarray, own: int, shared: int) -> np.ndarray:
@@ -213,8 +280,8 @@ class Attention:
                 s[k] += np.float32(0.01) * (g[k] * g[k] - s[k])
                 self.w[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
-    def packed(self) -> bytes:
-        return np.concatenate([self.w[k].ravel() for k in self.NAMES]).astype("<f4").tobytes()
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.w[k].ravel() for k in self.NAMES]).astype(np.float64)
 
     def unpacked(self, flat: np.ndarray) -> Attention:
         out, at = {}, 0
@@ -236,9 +303,9 @@ def log_probabilities(model: Attention, cin, cout, table, ids: np.ndarray, start
     n = -(-size // step)
     window = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
     low, end = np.repeat(starts, n), np.repeat(starts + size, n)
-    out = np.zeros(len(ids))
-    for at in range(0, len(window), 2048):
-        a, lo, hi = window[at : at + 2048], low[at : at + 2048], end[at : at + 2048]
+    out, ones = np.zeros(len(ids)), np.ones(sum(OUTPUT), np.float32)
+    for at in range(0, len(window), BLOCK):
+        a, lo, hi = window[at : at + BLOCK], low[at : at + BLOCK], end[at : at + BLOCK]
         place = (lo + a * step - OVERLAP)[:, None] + np.arange(WINDOW)
         there = (place >= lo[:, None]) & (place < hi[:, None])
         place = np.clip(place, 0, len(ids) - 1)
@@ -247,19 +314,20 @@ def log_probabilities(model: Attention, cin, cout, table, ids: np.ndarray, start
         if not ok.all():
             h, where = h[ok], where[ok]
         z = model.logits(h.reshape(-1, WIDTH))
-        z -= z.max(1, keepdims=True)
+        if z.max() > 60:
+            z -= z.max(1, keepdims=True)
         where = where.ravel()
         y = ids[where]
-        out[where] = z[np.arange(len(y)), cout[y]] - np.log(np.exp(z).sum(1)) + table[seen[where], y]
+        mine = z[np.arange(len(y)), cout[y]]
+        out[where] = mine - np.log(np.exp(z, out=z) @ ones) + table[seen[where], y]
     return out
 
 
-def fit(tokens: DataFrame, spacing: int = WINDOW, rounds: int = 3, rate: float = 0.02):
+def fit(units: DataFrame, rounds: int = 3, rate: float = 0.02):
     """(model, input classes, output classes, log P(id | class, class before)) from the training fold."""
-    if not 0 < spacing <= WINDOW:
-        raise ValueError("windows further apart leave training ids out")
-    spark = tokens.sparkSession
-    counted = _staged(tokens.where("not held").select("ids").mapInArrow(_gather_counts, "before int, id int, n long"), "lm-counts")
+    spark = units.sparkSession
+    given_ids = units.select("ids", "lengths", "held")
+    counted = _staged(given_ids.mapInArrow(_gather_counts, "before int, id int, n long"), "lm-counts")
     counts = np.zeros(IDS)
     for r in counted.groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most IDS rows
         counts[r["id"]] = r["n"]
@@ -275,163 +343,100 @@ def fit(tokens: DataFrame, spacing: int = WINDOW, rounds: int = 3, rate: float =
         total = np.bincount(cout, weights=pair[row], minlength=n_out)
         pair[row] = np.log((pair[row] + PRIOR * plain) / (total + PRIOR)[cout])
     model = Attention.fresh()
-    learnt = tokens.where("not held").select("tid", "ids")
     for k in range(rounds):
 
         def local(batches, model=model, rate=rate / (1 + k), turn=k):
-            own, seen = Attention(model.w), 0
-            for batch in batches:
-                for part in sliced(batch, 2 << 20):
-                    each = [np.frombuffer(d, np.uint16) for d in part["ids"].to_pylist()]
-                    rows = training_windows(each, part["tid"].to_numpy(), spacing, turn, rounds)
-                    if len(rows):
-                        own.train(rows, cin, cout, rate)
-                        seen += len(rows)
+            seen, total = 0, 0.0
+            for rows in batches:
+                for ids, lengths, held in zip(rows["ids"], rows["lengths"], rows["held"], strict=True):
+                    windows = training_windows(_array(ids, np.uint16), _array(lengths, np.int64), ~_array(held, bool), turn, rounds)
+                    if len(windows):
+                        own = Attention(model.w)
+                        own.train(windows, cin, cout, rate)
+                        seen += len(windows)
+                        total = total + len(windows) * np.rint(own.flat() / GRAIN)
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([own.packed()], pa.binary())], ["n", "weights"])
+                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "weights"])
 
-        # Weighted sums of the weights, element by element: partitions may be many, weights are few.
-        got = learnt.mapInArrow(local, "n long, weights binary").withColumn("slot", F.pmod(F.xxhash64("weights"), F.lit(64)))
-        sums = got.groupBy("slot").applyInArrow(_weighted, "n long, weights binary").collect()  # 64 rows at most
+        got = given_ids.mapInArrow(local, "n long, weights binary").withColumn("slot", F.pmod(F.xxhash64("weights"), F.lit(1024)))
+        sums = got.groupBy("slot").applyInArrow(_added, "n long, weights binary").collect()  # 1,024 rows of 42 kB at most
         if sums:
-            total_n = sum(r["n"] for r in sums)
-            model = model.unpacked((sum(np.frombuffer(r["weights"], "<f8") for r in sums) / total_n).astype(np.float32))
+            total = sum(np.frombuffer(r["weights"], "<f8") for r in sums)
+            model = model.unpacked((total / sum(r["n"] for r in sums) * GRAIN).astype(np.float32))
     return model, cin, cout, pair
 
 
-def _weighted(rows: pa.Table) -> pa.Table:
-    n = rows["n"].to_numpy()
-    total = sum(k * np.frombuffer(w, "<f4").astype("<f8") for k, w in zip(n, rows["weights"].to_pylist(), strict=True))
-    return pa.table({"n": pa.array([int(n.sum())], pa.int64()), "weights": pa.array([total.tobytes()], pa.binary())})
-
-
-def model_scores(tokens: DataFrame, model, cin, cout, table) -> DataFrame:
-    """(key, tid, score): log10 probability of each text by the model."""
-
-    def run(batches):
-        for batch in batches:
-            for rows in sliced(batch, 2 << 20):
-                each = [np.frombuffer(d, np.uint16) for d in rows["ids"].to_pylist()]
-                ids = np.concatenate(each).astype(np.int64)
-                starts = np.cumsum([0, *map(len, each[:-1])])
-                logs = log_probabilities(model, cin, cout, table, ids, starts)
-                score = np.add.reduceat(logs, starts) / math.log(10)
-                yield pa.RecordBatch.from_arrays([rows["key"], rows["tid"], pa.array(score)], ["key", "tid", "score"])
-
-    return tokens.mapInArrow(run, "key long, tid long, score double")
-
+def _added(rows: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(w, "<f8") for w in rows["weights"].to_pylist())
+    return pa.table({"n": pa.array([int(rows["n"].to_numpy().sum())], pa.int64()), "weights": pa.array([total.tobytes()], pa.binary())})
 
-def _split(text: str) -> list[bytes]:
-    return text.encode().lower().split()
 
+def _send(shards: int):
+    def send(batches):
+        for rows in batches:
+            out = []
+            for unit, hashes, counts in zip(rows["unit"].to_pylist(), rows["hashes"], rows["counts"], strict=True):
+                h, n = _array(hashes, np.uint64), _array(counts, np.int64).view(np.uint64)
+                order = np.argsort(h)
+                out += [(shard, unit, data) for shard, data in deal(h[order], shards, h[order], n[order])]
+            shard, unit, data = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(unit, pa.int64()), pa.array(data, pa.binary())], ["shard", "unit", "data"])
 
-def _hashes(words) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return send
 
 
-def _shards(h: np.ndarray, shards: int, *columns: np.ndarray):
-    """(shard, columns packed) in order of shard and hash."""
-    shard = ((h >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
-    order = np.lexsort((h, shard))
-    cut = np.searchsorted(shard[order], np.arange(shards + 1))
-    for s in range(shards):
-        at = order[cut[s] : cut[s + 1]]
-        if len(at):
-            yield s, at, b"".join(c[at].tobytes() for c in columns)
+def _tally(rows: pa.Table) -> pa.Table:
+    """To each unit the corpus counts of the hashes it sent, and for unit -1 the words and their total."""
+    sent = [np.frombuffer(d, np.uint64).reshape(2, -1) for d in rows["data"].to_pylist()]
+    h, where = np.unique(np.concatenate([x[0] for x in sent]), return_inverse=True)
+    total = np.bincount(where, weights=np.concatenate([x[1] for x in sent]).astype(np.float64), minlength=len(h)).astype(np.int64)
+    found, at = [], 0
+    for x in sent:
+        found.append(x[0].tobytes() + total[where[at : at + x.shape[1]]].tobytes())
+        at += x.shape[1]
+    found.append(np.array([(total > 0).sum(), total.sum()], np.int64).tobytes())
+    return pa.table({"unit": pa.array([*rows["unit"].to_pylist(), -1], pa.int64()), "told": pa.array(found, pa.binary())})
 
 
-def word_counts(texts: DataFrame, shards: int) -> DataFrame:
-    """(shard, n_words, n_total, data): counts of the training words whose hash falls in the shard."""
-
-    def count(batches):
-        from collections import Counter
-
-        seen: Counter = Counter()
-
-        def out():
-            words = list(seen)
-            n = np.fromiter(seen.values(), np.int64, len(words))
-            h = _hashes(words)
-            rows = [(s, data) for s, _, data in _shards(h, shards, h, n)]
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "data"])
-
-        for batch in batches:
-            for rows in sliced(batch, 2 << 20):
-                for t in rows["text"].to_pylist():
-                    seen.update(_split(t))
-                if len(seen) > 600_000:
-                    yield out()
-        if seen:
-            yield out()
+def _score(model, cin, cout, table, n_train: int, v: int, n_ends: int):
+    scale = math.log10(n_train + 0.5 * (v + 1))
 
-    def add(rows: pa.Table) -> pa.Table:
-        h, n = np.concatenate([np.frombuffer(d, np.int64).reshape(2, -1) for d in rows["data"].to_pylist()], axis=1)
-        h, where = np.unique(h.view(np.uint64), return_inverse=True)
-        n = np.bincount(where, weights=n).astype(np.int64)
-        return pa.table({"shard": rows["shard"].slice(0, 1), "n_words": pa.array([len(h)], pa.int64()), "n_total": pa.array([int(n.sum())], pa.int64()), "data": pa.array([h.tobytes() + n.tobytes()], pa.binary())})
+    def run(unit: pa.Table, told: pa.Table) -> pa.Table:
+        if not len(unit):
+            return pa.table({n: pa.array([], t) for n, t in zip(SCORES.replace(",", "").split()[::2], (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
+        cell = lambda name, kind: _array(unit[name][0], kind)
+        size, lengths, hashes = cell("sizes", np.int64), cell("lengths", np.int64), cell("hashes", np.uint64)
+        words = cell("words", np.uint16 if len(hashes) < 1 << 16 else np.uint32)
+        answers = [np.frombuffer(d, np.uint64).reshape(2, -1) for d in told["told"].to_pylist()]
+        c = np.zeros(len(hashes), np.int64)
+        if answers:
+            h, n = np.concatenate(answers, axis=1)
+            order = np.argsort(h)
+            c = n[order].astype(np.int64)[np.searchsorted(h[order], hashes)]
+        doc = np.repeat(np.arange(len(size)), size)
+        known = np.bincount(doc, weights=(c > 0)[words], minlength=len(size)).astype(np.int64) + (n_ends > 0)
+        base = np.bincount(doc, weights=np.log10(c + 0.5)[words], minlength=len(size)) + math.log10(n_ends + 0.5) - (size + 1) * scale
+        starts = lengths.cumsum() - lengths
+        logs = log_probabilities(model, cin, cout, table, cell("ids", np.uint16).astype(np.int64), starts)
+        return pa.table({"key": cell("keys", np.int64), "held": pa.array(cell("held", bool)), "n_tokens": size + 1, "n_known": known, "base_score": base, "score": np.add.reduceat(logs, starts) / math.log(10)})
 
-    sent = texts.where("not held").select("text").mapInArrow(count, "shard int, data binary")
-    return sent.groupBy("shard").applyInArrow(add, "shard int, n_words long, n_total long, data binary")
+    return run
 
 
-def base_scores(docs: DataFrame, batch_bytes: int = 6 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
-    """(key, tid, held, n_tokens, n_known, train_tokens, base_score) per row of docs."""
-    total = text_bytes(docs)
-    batches, shards = parts(total, batch_bytes), parts(total, shard_bytes)
-    texts = keyed(docs)
-    counts = _staged(word_counts(texts, shards), "lm-words")
-    sums = counts.agg(F.sum("n_words").alias("v"), F.sum("n_total").alias("n")).first()
-    ends = texts.where("not held").count()
+def score(docs: DataFrame, tokenizer_path: str, pattern: str, rounds: int = 3, unit_bytes: int = 4 << 20, shard_bytes: int = 16 << 20) -> DataFrame:
+    """One row per document: base and model scores of its whole text."""
+    units = packed(docs, tokenizer_path, pattern, unit_bytes)
+    sent = units.select("unit", "hashes", "counts").mapInArrow(_send(parts(text_bytes(docs), shard_bytes)), "shard int, unit long, data binary")
+    told = _staged(sent.groupBy("shard").applyInArrow(_tally, "unit long, told binary"), "lm-words")
+    sums = told.where("unit = -1").mapInArrow(_totals, "v long, n long").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
+    ends = keyed(docs).where("not held").count()
     n_train, v = (sums["n"] or 0) + ends, (sums["v"] or 0) + (ends > 0)
-    scale = math.log10(n_train + 0.5 * (v + 1))
-    dealt = texts.withColumn("batch", F.pmod(F.xxhash64("key", "tid"), F.lit(batches)))
-
-    def ask(rows: pa.Table) -> pa.Table:
-        words = {w for t in rows["text"].to_pylist() for w in _split(t)}
-        h = np.unique(_hashes(words))
-        out = [(s, data) for s, _, data in _shards(h, shards, h)]
-        return pa.table({"shard": pa.array([x[0] for x in out], pa.int32()), "batch": pa.array([rows["batch"][0].as_py()] * len(out), pa.int64()), "data": pa.array([x[1] for x in out], pa.binary())})
-
-    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        h, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        if len(known):
-            a = np.frombuffer(known["data"][0].as_py(), np.int64).reshape(2, -1)
-            h, n = a[0].view(np.uint64), a[1]
-        out = []
-        for data in asked["data"].to_pylist():
-            q = np.frombuffer(data, np.uint64)
-            at = np.minimum(np.searchsorted(h, q), max(0, len(h) - 1))
-            out.append((np.where(h[at] == q, n[at], 0) if len(h) else np.zeros(len(q), np.int64)).astype("<i8").tobytes())
-        return pa.table({"batch": asked["batch"], "shard": asked["shard"], "counts": pa.array(out, pa.binary())})
-
-    def finish(rows: pa.Table, told: pa.Table) -> pa.Table:
-        split = [_split(t) for t in rows["text"].to_pylist()]
-        words = list({w for s in split for w in s})
-        h, where = np.unique(_hashes(words), return_inverse=True)
-        counts_by = dict(zip(told["shard"].to_pylist(), told["counts"].to_pylist(), strict=True))
-        c = np.zeros(len(h), np.int64)
-        for s, at, _ in _shards(h, shards, h):
-            c[at] = np.frombuffer(counts_by[s], "<i8")
-        c = c[where]
-        number = dict(zip(words, range(len(words)), strict=True))
-        size = np.fromiter(map(len, split), np.int64, len(split))
-        flat = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(size.sum()))
-        doc = np.repeat(np.arange(len(split)), size)
-        known = np.bincount(doc, weights=c[flat] > 0, minlength=len(split)).astype(np.int64) + (ends > 0)
-        scores = np.bincount(doc, weights=np.log10(c + 0.5)[flat], minlength=len(split)) + math.log10(ends + 0.5) - (size + 1) * scale
-        return pa.table({"key": rows["key"], "tid": rows["tid"], "held": rows["held"], "n_tokens": pa.array(size + 1), "n_known": pa.array(known, pa.int64()), "base_score": pa.array(scores, pa.float64())})
-
-    asked = dealt.groupBy("batch").applyInArrow(ask, "shard int, batch long, data binary")
-    told = asked.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(answer, "batch long, shard int, counts binary")
-    done = dealt.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(finish, "key long, tid long, held boolean, n_tokens long, n_known long, base_score double")
-    return done.withColumn("train_tokens", F.lit(n_train).cast("long"))
+    run = _score(*fit(units, rounds), n_train, v, ends)
+    done = units.drop("counts").groupBy("unit").cogroup(told.where("unit >= 0").groupBy("unit")).applyInArrow(run, SCORES)
+    return done.select(doc_id_of(F.col("key")).alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def score(docs: DataFrame, tokenizer_path: str, pattern: str, spacing: int = WINDOW, rounds: int = 3) -> DataFrame:
-    """One row per document: base and model scores of its whole text."""
-    tokens = _staged(keyed(docs).mapInArrow(_tokenize(tokenizer_path, pattern), TOKENS), "lm-tokens")
-    fitted = fit(tokens, spacing, rounds)
-    scored = _staged(model_scores(tokens, *fitted), "lm-scores").groupBy("key", "tid").agg(F.first("score").alias("score"))
-    done = base_scores(docs).join(scored, ["key", "tid"])
-    return done.select(doc_id_of(F.col("key")).alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+def _totals(batches):
+    for rows in batches:
+        each = np.frombuffer(b"".join(rows["told"].to_pylist()), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(each[:, 0]), pa.array(each[:, 1])], ["v", "n"])

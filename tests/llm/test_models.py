@@ -1,6 +1,5 @@
 """LM scores, quality statistics, secrets, packing and near-duplicates against plain versions."""
 
-import inspect
 import math
 import random
 import re
@@ -30,7 +29,7 @@ def frame(spark, docs):
 
 def test_lm_base_and_distribution(spark):
     docs = texts()
-    rows = lm_scoring.score(frame(spark, docs), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, spacing=32).collect()
+    rows = lm_scoring.score(frame(spark, docs), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
     tokens = lambda t: [*WORD.findall((t or "").encode().lower()), None]
     fold = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 1
     count = Counter(w for d, t in docs if not fold(d) for w in tokens(t))
@@ -176,9 +175,46 @@ def test_pipeline_drops_pairs_of_similarity_point_eight(spark):
 
 def test_attention_learns_every_training_id():
     rng = np.random.default_rng(4)
-    each = [rng.integers(0, 50000, n).astype(np.uint16) for n in (1, 31, 32, 33, 64, 700)]
-    parts = [lm_scoring.training_windows(each, np.array([-5, 3, 8, 1, 0, 7]), lm_scoring.WINDOW, turn, 3) for turn in range(3)]
-    seen = Counter(x for p in parts for w in p for x in w[1:][w[1:] >= 0].tolist())
-    assert seen == Counter(x for ids in each for x in ids.tolist())
-    for f in (lm_scoring.fit, lm_scoring.score):
-        assert inspect.signature(f).parameters["spacing"].default == lm_scoring.WINDOW
+    each = [rng.integers(0, 50000, n).astype(np.uint16) for n in (1, 31, 32, 33, 64, 700, 5)]
+    learn = np.array([True] * 6 + [False])
+    parts = [lm_scoring.training_windows(np.concatenate(each), np.array(list(map(len, each))), learn, turn, 3) for turn in range(3)]
+    windows = [w for p in parts for w in p]
+    assert Counter(x for w in windows for x in w[1:][w[1:] >= 0].tolist()) == Counter(x for ids in each[:6] for x in ids.tolist())
+    follows = {(a, b) for ids in each[:6] for a, b in zip([lm_scoring.END, *ids.tolist()], ids.tolist())}
+    assert all((a, b) in follows for w in windows for a, b in zip(w.tolist(), w[1:].tolist()) if b >= 0)
+
+
+def test_scores_are_the_probabilities_of_a_direct_computation():
+    rng = np.random.default_rng(5)
+    m = lm_scoring.Attention.fresh(3)
+    m.w["R"] = rng.normal(0, 1, lm_scoring.WINDOW).astype(np.float32)
+    counts = rng.integers(0, 50, lm_scoring.IDS).astype(float)
+    cin, cout = lm_scoring.classes(counts, *lm_scoring.INPUT), lm_scoring.classes(counts, *lm_scoring.OUTPUT)
+    table = rng.random((sum(lm_scoring.INPUT), lm_scoring.IDS))
+    for row in table:
+        row /= np.bincount(cout, weights=row)[cout]
+    docs = [rng.integers(0, lm_scoring.IDS, n) for n in (1, 3, 24, 25, 60, 200)]
+    ids, starts = np.concatenate(docs), np.cumsum([0, *map(len, docs[:-1])])
+    got = lm_scoring.log_probabilities(m, cin, cout, np.log(table), ids, starts)
+    w, d, step, want = {k: x.astype(float) for k, x in m.w.items()}, lm_scoring.WIDTH, lm_scoring.WINDOW - lm_scoring.OVERLAP, []
+    for own in docs:
+        x = w["E"][cin[np.r_[lm_scoring.END, own[:-1]]]]
+        for i, y in enumerate(own):
+            c = x[max(0, i // step * step - lm_scoring.OVERLAP) : i + 1]
+            s = (c @ w["K"]) @ (x[i] @ w["Q"]) / math.sqrt(d) + w["R"][np.arange(len(c))[::-1]]
+            a = np.exp(s - s.max())
+            z = (x[i] + (a / a.sum()) @ c @ w["V"] @ w["O"]) @ w["U"] + w["b"]
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            next_ = p[cout] * table[cin[np.r_[lm_scoring.END, own][i]]]
+            assert abs(next_.sum() - 1) < 1e-9
+            want.append(math.log(next_[y]))
+    assert np.abs(got - want).max() < 1e-3
+
+
+def test_scores_do_not_depend_on_the_partitions(spark):
+    docs = spark.createDataFrame(texts(), "doc_id long, text string")
+    args = (P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    one, many = (sorted(map(str, lm_scoring.score(docs.repartition(n), *args, unit_bytes=3000, shard_bytes=4000).collect())) for n in (1, 7))
+    assert one == many
+    none = docs.limit(0)
+    assert lm_scoring.score(none, *args).count() == 0
