@@ -1,15 +1,18 @@
 """Quality rules: rule statistics of every document, judged by an isolation forest.
 
-Statistics come from whole texts.  The forest (random axis splits, path lengths) is fitted on a
-sample of at most `fit_rows` rows labelled good, chosen by hash; its threshold is calibrated on
-the scores of all labelled rows, gathered as a histogram of fixed size: the largest share of bad
-rows is rejected such that at most `clean_loss` of the good ones go.  Features are ratios, so a
-long document is no anomaly for its length.
+Statistics come from whole texts.  The forest is grown on a sample of at most `fit_rows` rows
+labelled good, chosen by hash; its random axis splits are drawn over the range that all labelled rows
+span, good or bad, so a document that lies where no good one does is parted from them after few
+splits.  Path lengths alone judge.  The threshold is calibrated on the scores of all labelled rows,
+gathered as a histogram of fixed size: the largest share of bad rows is rejected such that at most
+`clean_loss` of the good ones go; rows that the base rule rejects have no part in it.  Features are
+ratios, so a long document is no anomaly for its length.
 
 Nulls: a null text has no words and fails the base rule; a null doc_id stays null and has no
 label.  Documents without labels are judged like the others; where no row is labelled good and
-bad, only the base rule rejects.  Repeated rows give repeated results; an empty table gives an
-empty one; extra columns are ignored.
+bad, only the base rule rejects.  Of several labels of an id the worst counts; equal statistics get
+equal scores.  Repeated rows give repeated results; an empty table gives an empty one; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -104,63 +107,57 @@ def _measure(batches):
 
 
 class IsolationForest:
-    """Random axis splits; a row's score is 2 ** (-mean path / the usual path), near 1 if it stands alone."""
+    """Random axis splits over a box; a row's score is 2 ** (-mean path / the usual path), near 1 if it stands alone."""
 
-    def __init__(self, rows: np.ndarray, trees: int = 128, sample: int = 256, seed: int = 7):
+    def __init__(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = 128, sample: int = 256, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.low, self.high = rows.min(0), rows.max(0)
         self.size = min(sample, len(rows))
-        self.trees = [self._grow(rows[rng.choice(len(rows), self.size, replace=False)], rng) for _ in range(trees)]
+        self.trees = [self._grow(rows[rng.choice(len(rows), self.size, replace=False)], low, high, rng) for _ in range(trees)]
 
     @staticmethod
     def usual(n):
         n = np.asarray(n, float)
         return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
-    def _grow(self, rows, rng):
-        """Arrays (feature or -1, split, left, right, path at a leaf)."""
-        limit = math.ceil(math.log2(max(2, len(rows))))
-        nodes, todo = [], [(rows, 0, None, 0)]
+    def _grow(self, rows, low, high, rng):
+        """Arrays (feature or -1, split, left, right, path at a leaf); a leaf may be empty of rows."""
+        limit = 2 * math.ceil(math.log2(max(2, len(rows))))
+        nodes, todo = [], [(rows, 0, None, 0, low, high)]
         while todo:
-            part, depth, parent, side = todo.pop()
+            part, depth, parent, side, low, high = todo.pop()
             me = len(nodes)
             nodes.append([-1, 0.0, 0, 0, depth + float(self.usual(len(part)))])
             if parent is not None:
                 nodes[parent][2 + side] = me
-            span = part.max(0) - part.min(0)
-            open_ = np.flatnonzero(span > 0)
-            if depth >= limit or len(part) < 2 or not len(open_):
+            open_ = np.flatnonzero(high > low)
+            if depth >= limit or not len(part) or not len(open_):
                 continue
             f = int(rng.choice(open_))
-            lo, hi = part[:, f].min(), part[:, f].max()
-            cut = rng.uniform(lo, hi)
+            cut = rng.uniform(low[f], high[f])
             nodes[me][0], nodes[me][1] = f, cut
-            below = part[:, f] < cut
-            todo += [(part[below], depth + 1, me, 0), (part[~below], depth + 1, me, 1)]
+            below, at_f = part[:, f] < cut, np.arange(len(low)) == f
+            todo += [(part[below], depth + 1, me, 0, low, np.where(at_f, cut, high)), (part[~below], depth + 1, me, 1, np.where(at_f, cut, low), high)]
         a = np.array(nodes)
         return a[:, 0].astype(int), a[:, 1], a[:, 2].astype(int), a[:, 3].astype(int), a[:, 4]
 
     def score(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
-        rows = np.arange(len(x))
         for feature, cut, left, right, path in self.trees:
-            at = np.zeros(len(x), int)
-            for _ in range(64):
-                f = feature[at]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                below = x[rows, np.maximum(f, 0)] < cut[at]
-                at = np.where(inner, np.where(below, left[at], right[at]), at)
+            at, open_ = np.zeros(len(x), int), np.arange(len(x))
+            while len(open_):
+                here = at[open_]
+                below = x[open_, feature[here]] < cut[here]
+                at[open_] = np.where(below, left[here], right[here])
+                open_ = open_[feature[at[open_]] >= 0]
             total += path[at]
-        mean = total / len(self.trees)
-        # Beyond the range of all good rows no split can tell how far: each such feature halves the path.
-        outside = ((x > self.high) | (x < self.low)).sum(1)
-        return 2.0 ** (-(mean / 2.0**outside) / max(1e-9, float(self.usual(self.size))))
+        return 2.0 ** (-(total / len(self.trees)) / max(1e-9, float(self.usual(self.size))))
 
 
 def calibrate(histogram, clean_loss: float) -> float | None:
-    """The lowest score bin from which on at most clean_loss of the good rows, but some bad ones, go."""
+    """The score from which on at most clean_loss of the good rows go, and as many bad ones as that allows.
+
+    Of all bins with that outcome the middle one leaves equal room on both sides.
+    """
     good, bad = np.zeros(SCORE_BINS), np.zeros(SCORE_BINS)
     for quality, b, n in histogram:
         (good if quality else bad)[b] += n
@@ -168,7 +165,10 @@ def calibrate(histogram, clean_loss: float) -> float | None:
         return None
     lost = good[::-1].cumsum()[::-1]
     ok = np.flatnonzero(lost <= clean_loss * good.sum())
-    return ok[0] / SCORE_BINS if len(ok) else None
+    if not len(ok):
+        return None
+    caught = bad[::-1].cumsum()[::-1]
+    return (ok[0] + np.flatnonzero(caught == caught[ok[0]])[-1]) // 2 / SCORE_BINS
 
 
 def judge(docs: DataFrame, labels: DataFrame, fit_rows: int = 8192, clean_loss: float = 0.002, seed: int = 7) -> DataFrame:
@@ -180,11 +180,15 @@ def _judged(texts: DataFrame, schema: str, labels: DataFrame, fit_rows: int = 81
     """`judge` on keyed texts; a column tid, if they have it, comes out first."""
     stats = staged(texts.mapInArrow(_measure, schema), "quality")
     marked = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("key")).agg(F.min("quality").alias("quality"))
-    known = stats.join(marked, "key").select("key", "features", "quality")
-    fit = known.where("quality = 1").orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(fit_rows).collect()
+    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    labelled = stats.join(marked, "key").select("key", "features", "quality", base.alias("failed"))
+    known = labelled.where("not failed").drop("failed")
+    fit = known.where("quality = 1").orderBy(F.xxhash64("key", F.lit(seed)), "key", "features").limit(fit_rows).collect()
     forest, cut = None, None
     if len(fit) > 1:
-        forest = IsolationForest(np.array([r["features"] for r in sorted(fit, key=lambda r: (r["key"], r["features"]))]), seed=seed)
+        ends = labelled.agg(*(f(F.col("features")[i]) for f in (F.min, F.max) for i in range(len(FEATURES)))).first()
+        low, high = np.array(ends).reshape(2, -1)
+        forest = IsolationForest(np.array([r["features"] for r in sorted(fit, key=lambda r: (r["key"], r["features"]))]), low, high, seed=seed)
 
     def score(batches):
         for rows in batches:
@@ -197,7 +201,6 @@ def _judged(texts: DataFrame, schema: str, labels: DataFrame, fit_rows: int = 81
     if forest is not None:
         bins = known.mapInArrow(score, "key long, quality int, anomaly double").groupBy("quality", F.least(F.floor(F.col("anomaly") * SCORE_BINS), F.lit(SCORE_BINS - 1)).cast("int").alias("bin")).count()
         cut = calibrate([tuple(r) for r in bins.collect()], clean_loss)
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     odd = F.lit(False) if cut is None else F.floor(F.col("anomaly") * SCORE_BINS) >= F.lit(round(cut * SCORE_BINS))
     return scored.select(
         *(n for n in scored.columns if n == "tid"),
