@@ -113,6 +113,68 @@ def test_secrets(spark):
     assert got[2]["spans"] == "hex:0:17"
 
 
+def plain_spans(text):
+    """The fixed patterns, place by place."""
+    out, low = [], text.lower() if text.isascii() else "".join(c.lower() if c.isascii() else c for c in text)
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def skip(i, allowed, most=10**9):
+        n = 0
+        while i < len(text) and n < most and text[i] in allowed:
+            i, n = i + 1, n + 1
+        return i
+
+    i = 0
+    while i < len(text):
+        word = next((w for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if low.startswith(w, i)), None)
+        if word:
+            j = skip(skip(i + len(word), "\"'", 1), " ")
+            if j < len(text) and text[j] in ":=":
+                j = skip(skip(j + 1, " "), "\"'", 1)
+                end = skip(j, value)
+                if end > j:
+                    out += [(i, 0, end)] if end - j >= 12 else []
+                    i = end
+                    continue
+        i += 1
+    for kind, head, allowed, least in ((1, "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 18), (2, "", "0123456789abcdef", 16)):
+        i = 0
+        while i < len(text):
+            end = skip(i + len(head), allowed) if text.startswith(head, i) else i
+            if end > i + len(head):
+                out += [(i, kind, end)] if end - i >= least else []
+                i = end
+            else:
+                i += 1
+    return sorted(out)
+
+
+def test_secret_base_against_a_plain_scan():
+    rnd = random.Random(17)
+    bits = ["password", "PassWd", "sEcret", "token", "api_key", "APIKEY", "AKIA", "\"", "'", " ", ": ", "=", " = ", "ſecret", "é", "Z9", "0a1b2c3d", "deadbeef", "QWER1234TYUI", "abc/+_", "x.y-z", "\n"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 14)))
+        assert secret_scan.base_spans(text) == plain_spans(text), text
+
+
+def test_secret_method_adds_random_keys_and_no_text(spark):
+    rnd = random.Random(23)
+    kinds = ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/-_"]
+    words = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randrange(2, 9))) for _ in range(300)]
+    docs, keys = [], {}
+    for i in range(400):
+        text = [rnd.choice(words) for _ in range(120)] + ["-".join(rnd.choice(words) for _ in range(rnd.randrange(4, 7)))]
+        if i % 4 == 0:
+            keys[i] = "".join(rnd.choice(kinds[i // 4 % 4]) for _ in range(rnd.randrange(36, 60)))
+            text.insert(rnd.randrange(100), keys[i])
+        docs.append((i, " ".join(text)))
+    rows = {r["doc_id"]: r for r in secret_scan.scan_secrets(frame(spark, docs)).collect()}
+    added = {i: [docs[i][1][int(a) : int(b)] for _, a, b in (s.split(":") for s in r["spans"].split(",") if s.startswith("random"))] for i, r in rows.items()}
+    caught, wrong = sum(k in added[i] for i, k in keys.items()), sum(k != keys.get(i) for i, x in added.items() for k in x)
+    assert caught >= 90 and wrong <= 10
+    assert secret_scan.scan_secrets(frame(spark, docs).limit(0)).count() == 0
+
+
 def test_packing(spark):
     docs = texts() + [(400, "word " * 9000)]
     rows = best_fit_packing.pack(frame(spark, docs), P.path("word_bpe_49k.json"), capacity=256).collect()
