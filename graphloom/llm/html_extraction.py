@@ -4,14 +4,16 @@ A page is cut into text lines, one for each block.  Elements that the markup nam
 (nav, footer, aside, form, script, adverts by class, reader comments and so on) yield no lines.
 Within each host pages are ordered by URL path; each page is aligned with the page before and the
 page after it by a longest common subsequence of lines, and lines that they share are deleted.
-Two things keep a shared line: it lies inside an explicit article or main element, whose prose may
-well be quoted on another page, or the two pages are copies of each other (four fifths of the
-characters are shared), which says nothing about templates.
+A page equal to its neighbour says nothing about templates and is passed over.  Of two neighbours one
+may be an edition of the same text (four fifths of the characters are shared): then only lines that
+both neighbours share go.  Lines inside an explicit article or main element stay, as prose may well be
+quoted on another page.
 
 Pages are dealt into ranges of the URL order; the range borders come from a bounded sample, and the
 last and first page of each range are sent to the next one too, so every page meets its true
 neighbours and the result does not depend on the number of ranges.  A host may hold any share of
-all pages.  The html is parsed once and its lines are shuffled once.
+all pages.  The html is parsed once and its lines are shuffled once.  A range is sorted by Spark and
+read as a stream, so beyond `most_ranges` ranges grow without taking more memory.
 
 Nulls: null html is empty, a null url has the empty host and path, a null page_id stays null and
 sorts last.  Repeated rows each get a result; an empty table gives an empty one; extra columns are
@@ -43,23 +45,30 @@ NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+
 MAIN = re.compile(r"""\b(?:role\s*=\s*["']?main\b|itemprop\s*=\s*["']?articleBody\b)""", re.I)
 LINES = "bucket int, host string, path string, key long, url string, halo boolean, lines string, inside string"
 RESULT = "key long, url string, text string, n_chars long, n_shared long"
-#: Pages that share this part of their characters are copies.
-COPY = 0.8
+#: Of several neighbours, one that shares this part of a page's characters is an edition of it.
+EDITION = 0.8
+#: Names of furniture that articles of their own may stand in: reader comments and the like.
+VOICES = frozenset("comment comments disqus feedback related recommended promoted sponsored".split())
 
 
-def _furniture(attributes: str) -> bool:
+def _furniture(attributes: str) -> str:
+    """The part of a name that says an element is page furniture; empty if none does."""
     for m in NAMES.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").lower().split():
             ends = re.split(r"[-_]+", name)
-            if name in FURNITURE or (len(ends) > 1 and (ends[0] in FURNITURE or ends[-1] in FURNITURE) and not {"article", "content", "post", "entry", "body"} & set(ends)):
-                return True
-    return False
+            if name in FURNITURE:
+                return name
+            if len(ends) > 1 and not {"article", "content", "post", "entry", "body"} & set(ends):
+                for end in (ends[0], ends[-1]):
+                    if end in FURNITURE:
+                        return end
+    return ""
 
 
 def page_lines(html: str) -> tuple[list[str], list[bool]]:
     """The text lines of a page in order, and which of them lie inside an article or main element."""
     lines, inside, held = [], [], []
-    skip, depth, main, at = "", 0, [], 0
+    skip, voice, depth, main, at = "", False, 0, [], 0
 
     def flush():
         line = " ".join(entities.unescape("".join(held)).split()) if held else ""
@@ -76,7 +85,7 @@ def page_lines(html: str) -> tuple[list[str], list[bool]]:
         if not tag:
             continue
         close = bool(m[2])
-        if skip and tag in ("article", "main") and not close and skip not in ("comments", tag):
+        if skip and tag in ("article", "main") and not close and not voice and skip != tag:
             skip, depth = "", 0  # an unclosed menu ends where the article starts
         elif skip:
             if tag == skip:
@@ -91,8 +100,9 @@ def page_lines(html: str) -> tuple[list[str], list[bool]]:
                 main.pop()
         elif tag not in VOID:
             attributes = m[4]
-            if (tag in SKIPPED or (tag == "header" and not main) or (attributes and _furniture(attributes))) and tag not in ("html", "body") and not attributes.endswith("/"):
-                skip, depth = tag, 1
+            named = _furniture(attributes) if attributes else ""
+            if (tag in SKIPPED or (tag == "header" and not main) or named) and tag not in ("html", "body") and not attributes.endswith("/"):
+                skip, voice, depth = tag, named in VOICES, 1
             elif tag in ("article", "main") or (attributes and MAIN.search(attributes)):
                 main.append(tag)
     if not skip and at < len(html):
@@ -151,13 +161,16 @@ def _align(a: list, b: list) -> list[int]:
     return out[::-1]
 
 
-def deletable(lines: list[str], inside: list[bool], other: list[str]) -> list[int]:
-    """The lines that a neighbour shares and nothing keeps."""
-    shared = common_lines(lines, other)
-    size = sum(map(len, lines))
-    if size and sum(len(lines[i]) for i in shared) >= COPY * size:
-        return []
-    return [i for i in shared if not inside[i]]
+def deletable(lines: list[str], inside: list[bool], neighbours: list[list[str]]) -> set[int]:
+    """The lines that neighbours share and nothing keeps."""
+    shared = [set(common_lines(lines, other)) for other in neighbours if other != lines]
+    if not shared:
+        return set()
+    size, gone = sum(map(len, lines)), set.intersection(*shared)
+    for own in shared:
+        if sum(len(lines[i]) for i in own) < EDITION * size:
+            gone |= own
+    return {i for i in gone if not inside[i]}
 
 
 def _url_parts(pages: DataFrame) -> DataFrame:
@@ -196,10 +209,7 @@ def _difference(batches):
     """Rows come ordered by range, host and path; a page is done when the one after it is known."""
 
     def done(before, page, after):
-        gone = set()
-        for other in (before, after):
-            if other and other[:2] == page[:2]:
-                gone |= set(deletable(page[5], page[6], other[5]))
+        gone = deletable(page[5], page[6], [other[5] for other in (before, after) if other and other[:2] == page[:2]])
         text = " ".join(x for i, x in enumerate(page[5]) if i not in gone)
         return page[2], page[3], text, len(text), len(gone)
 
@@ -222,7 +232,7 @@ def _difference(batches):
         yield flush([done(before, page, None)])
 
 
-def extract(pages: DataFrame, range_bytes: int = 1 << 20, most_ranges: int = 8192, sample_per_range: int = 8) -> DataFrame:
+def extract(pages: DataFrame, range_bytes: int = 4 << 20, most_ranges: int = 65536, sample_per_range: int = 4) -> DataFrame:
     """page_id, url, text and n_chars of every page, and how many lines differencing deleted."""
     found = _url_parts(pages)
     total = found.agg(F.sum(F.octet_length("html"))).first()[0] or 0
@@ -230,7 +240,7 @@ def extract(pages: DataFrame, range_bytes: int = 1 << 20, most_ranges: int = 819
     order = ["host", "path", "key"]
     borders, halo = [], {}
     if n > 1:
-        sample = found.select(*order).orderBy(F.xxhash64("key", "path"), *order).limit(n * sample_per_range).collect()  # at most 65,536 keys
+        sample = found.select(*order).orderBy(F.xxhash64("key", "path"), *order).limit(n * sample_per_range).collect()  # at most 262,144 keys
         keys = sorted(tuple(r) for r in sample)
         borders = sorted({keys[len(keys) * k // n] for k in range(1, n)})
         edges = found.select(*order).mapInArrow(_ranges(borders), "bucket int, host string, path string, key long").groupBy("bucket").agg(F.min(F.struct(*order)).alias("low"), F.max(F.struct(*order)).alias("high")).orderBy("bucket").collect()

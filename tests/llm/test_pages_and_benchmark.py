@@ -39,6 +39,21 @@ def test_extraction(spark):
     assert html_extraction.extract(df.limit(0)).count() == 0
 
 
+def test_differencing_decides_where_markup_is_silent(spark):
+    menu = "".join(f"<div>entry {i} of the menu</div>" for i in range(30))
+    page = lambda own: f"<html><body>{menu}<p>{own}</p><div>all rights reserved</div></body></html>"
+    voices = "<article><p>the story</p></article><section class='comments'><article><p>reader says hi</p></article></section>"
+    rows = [(i, f"http://big/news/{i}", page(f"own words {i}")) for i in range(5)]
+    rows += [(10, "http://two/a", page("first")), (11, "http://two/b", page("second")), (12, "http://one/a", "<p>alone</p>"), (13, "http://v/a", voices)]
+    rows += [(20, "http://same/a", page("told twice")), (21, "http://same/b", page("told twice"))]
+    df = spark.createDataFrame([(*r, "h", "p") for r in rows], "page_id long, url string, html string, host string, path string")
+    for size in (1 << 20, 100):
+        got = {r["page_id"]: r["text"] for r in html_extraction.extract(df, range_bytes=size).collect()}
+        assert {i: got[i] for i in range(5)} == {i: f"own words {i}" for i in range(5)}
+        assert (got[10], got[11], got[12], got[13]) == ("first", "second", "alone", "the story")
+        assert got[20] == got[21] and got[20].endswith("told twice all rights reserved")
+
+
 def least_distance(pattern, text):
     row = [0] * (len(text) + 1)
     for i, x in enumerate(pattern, 1):
