@@ -1,7 +1,7 @@
 """Best-fit packing by a configuration linear program over the histogram of piece lengths.
 
 A configuration is a multiset of lengths that fits one sequence.  The program asks for the fewest
-configurations that cover the histogram, its lengths joined into groups of like counts.
+configurations that cover the histogram, its lengths joined into groups of like numbers of tokens.
 Multiplicative weights solve it: each round prices the groups, a knapsack dynamic program finds
 the configuration of the highest price, and the weights of what it covers fall.  Rounding uses
 each configuration a whole number of times; the room left, and the pieces left, are packed best
@@ -30,8 +30,6 @@ from pyspark.sql import functions as F
 from .common import doc_id_of, keyed_texts, parts, sliced, staged
 
 CAPACITY, END_ID = 4096, 1
-#: Pieces under this part of the capacity stay out of the program and fill room.
-SHORT = 8
 PIECES = "key long, piece int, start long, length long, ids_crc32 long"
 #: Distinct words whose ids a task remembers.
 REMEMBERED = 400_000
@@ -158,9 +156,10 @@ def configuration_lp(lengths: np.ndarray, demand: np.ndarray, capacity: int, rou
 
 
 def grouped(lengths: np.ndarray, counts: np.ndarray, groups: int) -> np.ndarray:
-    """Linear grouping: the first index of each group of neighbouring lengths with like counts."""
-    middle = counts.cumsum() - counts / 2
-    group = np.minimum((middle * groups / counts.sum()).astype(int), groups - 1)
+    """Linear grouping: the first index of each group of neighbouring lengths with like numbers of tokens."""
+    tokens = counts * lengths
+    middle = tokens.cumsum() - tokens / 2
+    group = np.minimum((middle * groups / tokens.sum()).astype(int), groups - 1)
     return np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
 
 
@@ -217,8 +216,7 @@ def plan(histogram: list[tuple[int, int]], capacity: int = CAPACITY, rounds: int
         return np.zeros((0, 5), np.int64), 0
     lengths, counts = np.array(sorted(histogram), np.int64).T
     left, runs = counts.copy(), []
-    # A full piece needs no program; the short ones fill what the others leave.
-    program = np.flatnonzero((lengths < capacity) & (lengths > capacity // SHORT))
+    program = np.flatnonzero(lengths < capacity)  # a full piece needs none
     if len(program):
         size, stock = lengths[program], left[program]
         firsts = grouped(size, stock, groups)

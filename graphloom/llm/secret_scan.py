@@ -137,17 +137,16 @@ def _scan(batches):
                 for (own, _), b in zip(each, bins("".join(body for _, body in each).encode(), length).tolist(), strict=True):
                     own |= {"length_class": length_class(length), "bin": b}
             squeezed = [CANDIDATE.sub("", t).encode().translate(None, NO_TOKEN) for t in texts]
-            plain = [[] for _ in texts]
+            # Windows are cut within documents, so their counts add up alike however rows are sliced.
+            plain = []
             for c in CLASSES:
-                n = [len(q) >> c for q in squeezed]
-                got = bins(b"".join(q[: k << c] for q, k in zip(squeezed, n, strict=True)), 1 << c)
-                for i, (b, count) in enumerate(zip(*_counted(got, n), strict=True)):
-                    plain[i] += [{"length_class": c, "bin": x, "n": y} for x, y in zip(b, count, strict=True)]
+                got = np.bincount(bins(b"".join(q[: len(q) >> c << c] for q in squeezed), 1 << c), minlength=BINS)
+                plain += [{"length_class": c, "bin": int(b), "n": int(got[b])} for b in np.flatnonzero(got)]
             out = []
-            for key, spans, own, text_bins in zip(rows["key"].to_pylist(), found, tests, plain, strict=True):
+            for key, spans, own in zip(rows["key"].to_pylist(), found, tests, strict=True):
                 base = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
                 n = [sum(k == kind for _, k, _ in spans) for kind in range(3)]
-                out.append((key, base, *n, hashlib.sha256(base.encode()).hexdigest(), own, text_bins))
+                out.append((key, base, *n, hashlib.sha256(base.encode()).hexdigest(), own, [] if out else plain))
             columns = list(zip(*out, strict=True))
             counted = pa.list_(pa.struct([(c, pa.int32()) for c in ("start", "end", "length_class", "bin")]))
             seen = pa.list_(pa.struct([(c, pa.int32()) for c in ("length_class", "bin", "n")]))
@@ -156,15 +155,6 @@ def _scan(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-def _counted(got: np.ndarray, n: list[int]) -> tuple[list[list[int]], list[list[int]]]:
-    """Per document the distinct bins of its n windows and how many fall in each."""
-    doc = np.repeat(np.arange(len(n)), n)
-    both, count = np.unique(doc * BINS + got, return_counts=True)
-    edge = np.searchsorted(both, np.arange(len(n) + 1) * BINS)
-    b, c = (both % BINS).tolist(), count.tolist()
-    return [b[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)], [c[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)]
-
-
 def reported_bins(candidates, plain, fdr: float) -> dict[int, int]:
     """Per length class the number of bins, from the most random one on, that Benjamini-Hochberg reports."""
     cut = {}

@@ -194,6 +194,20 @@ def test_packing(spark):
     assert max(sequences.values()) <= 256
 
 
+def test_the_program_packs_what_best_fit_cannot():
+    """Nine sequences of 100 hold six 51, six 27, six 26 and twelve 23; best fit decreasing needs eleven."""
+    histogram, sequences = {51: 600, 27: 600, 26: 600, 23: 1200}, []
+    for length in sorted((x for x, n in histogram.items() for _ in range(n // 100)), reverse=True):
+        fitting = [s for s in sequences if sum(s) + length <= 100]
+        max(fitting, key=sum).append(length) if fitting else sequences.append([length])
+    assert len(sequences) == 11
+    table, n = best_fit_packing.plan(list(histogram.items()), capacity=100)
+    assert 900 <= n <= 990
+    short = {3: 5000, 7: 3000, 40: 100, 61: 90}
+    table, n = best_fit_packing.plan(list(short.items()), capacity=100)
+    assert n <= 1.02 * sum(a * b for a, b in short.items()) / 100 + 1
+
+
 def test_near_duplicates(spark):
     docs = [(i, t) for i, t in enumerate(t for _, t in texts())]
     prints = {}
