@@ -66,17 +66,30 @@ class WordIds:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[bytes, bytes] = {}
+        (self.newline,) = self.encode("\n")
+
+    def _new(self, words: list[bytes]) -> list[bytes]:
+        """Line by line in one call; a word with white space of its own might join with a line's end."""
+        texts = [w.decode() for w in words]
+        if not texts:
+            return []
+        if any(len(t.split()) != 1 for t in texts):
+            return [np.array(self.encode(" " + t), np.uint16).tobytes() for t in texts]
+        ids = np.array(self.encode(" " + "\n ".join(texts) + "\n"), np.uint16)
+        ends = np.flatnonzero(ids == self.newline).tolist()
+        raw, starts = ids.tobytes(), [0, *(e + 1 for e in ends)]
+        return [raw[2 * a : 2 * b] for a, b in zip(starts, ends, strict=False)]
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words end to end, ids per word)."""
-        known, encode, out = self.known, self.encode, []
-        for w in words:
-            ids = known.get(w)
-            if ids is None:
-                ids = np.array(encode(" " + w.decode()), np.uint16).tobytes()
-                if len(known) < REMEMBERED:
-                    known[w] = ids
-            out.append(ids)
+        known = self.known
+        new = [w for w in words if w not in known]
+        odd = [w for w in new if not w.isascii() and len(w.decode().split()) != 1]
+        plain = [w for w in new if w not in set(odd)] if odd else new
+        met = dict(zip(odd, self._new(odd), strict=True)) | dict(zip(plain, self._new(plain), strict=True)) if new else {}
+        out = [met.get(w) or known[w] for w in words]
+        if len(known) < REMEMBERED:
+            known.update(met)
         return np.frombuffer(b"".join(out), np.uint16), np.fromiter(map(len, out), np.int64, len(out)) // 2
 
 
@@ -201,7 +214,12 @@ class Attention:
     NAMES = ("E", "Q", "K", "V", "O", "U", "b", "R")
 
     def __init__(self, weights: dict[str, np.ndarray]):
-        self.w = {k: v.astype(np.float32) for k, v in weights.items()}
+        """All weights stand in one vector; w holds views of it by name."""
+        self.all = np.concatenate([weights[k].ravel() for k in self.NAMES]).astype(np.float32)
+        at, self.w = 0, {}
+        for k in self.NAMES:
+            self.w[k] = self.all[at : at + weights[k].size].reshape(weights[k].shape)
+            at += weights[k].size
 
     @classmethod
     def fresh(cls, seed: int = 11) -> Attention:
@@ -220,12 +238,8 @@ class Attention:
         distance = place - other
         bias = np.where(distance >= 0, w["R"][np.maximum(distance, 0)], -1e9).astype(x.dtype)
         s = q @ k.transpose(0, 2, 1)
-        # No score is above this bound: where it is small enough, one number serves as every row's maximum.
-        bound = math.sqrt(float((q * q).sum(2).max(initial=0)) * float((k * k).sum(2).max(initial=0))) + float(np.abs(w["R"]).max())
-        if bound < 30:
-            s += bias
-        else:
-            s += bias
+        s += bias
+        if s.max(initial=0) > 60:
             s -= s.max(2, keepdims=True)
         a = np.exp(s, out=s)
         # Places after the last id are out of reach of any scored one; those before the first are not.
@@ -245,11 +259,13 @@ class Attention:
         h, (a, total), q, k, v, mixed, distance = self.attend(x, 0, there)
         a /= total
         z = self.logits(h)
-        z -= z.max(2, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(2, keepdims=True)
-        p[np.arange(len(x))[:, None], np.arange(x.shape[1])[None, :], y_class] -= 1
-        p *= (scored / max(1, scored.sum()))[:, :, None].astype(np.float32)
+        if z.max() > 60:
+            z -= z.max(2, keepdims=True)
+        p = np.exp(z, out=z).reshape(-1, z.shape[-1])
+        weight = (scored / max(1, scored.sum())).astype(np.float32).ravel()
+        p *= (weight / (p @ np.ones(p.shape[1], np.float32)))[:, None]
+        p[np.arange(len(p)), y_class.ravel()] -= weight
+        p = p.reshape(z.shape)
         flat = lambda m: m.reshape(-1, m.shape[-1])
         g = {"U": flat(h).T @ flat(p), "b": flat(p).sum(0)}
         dh = _times(p, w["U"].T)
@@ -257,7 +273,8 @@ class Attention:
         g["O"] = flat(mixed).T @ flat(dh)
         da = dm @ v.transpose(0, 2, 1)
         dv = a.transpose(0, 2, 1) @ dm
-        ds = a * (da - (da * a).sum(2, keepdims=True))
+        da -= (dm * mixed).sum(2, keepdims=True)  # the rows' sums of a times da
+        ds = np.multiply(a, da, out=da)
         g["R"] = np.bincount(np.maximum(distance, 0).ravel(), weights=np.where(distance >= 0, ds.sum(0), 0).ravel(), minlength=WINDOW)[:WINDOW]
         dq, dk = ds @ k / np.float32(math.sqrt(WIDTH)), ds.transpose(0, 2, 1) @ q
         dx = dh + _times(dq, w["Q"].T) + _times(dk, w["K"].T) + _times(dv, w["V"].T)
@@ -269,19 +286,18 @@ class Attention:
 
     def train(self, windows: np.ndarray, cin: np.ndarray, cout: np.ndarray, rate: float, batch: int = 64) -> None:
         """Adam steps over the windows, once each; -1 fills up short ones."""
-        m = {k: np.zeros_like(v) for k, v in self.w.items()}
-        s = {k: np.zeros_like(v) for k, v in self.w.items()}
+        m, s = np.zeros_like(self.all), np.zeros_like(self.all)
         for step, at in enumerate(range(0, len(windows), batch), 1):
             ids = windows[at : at + batch]
             there, scored = ids[:, :-1] >= 0, ids[:, 1:] >= 0
-            g = self.gradient(cin[np.maximum(ids[:, :-1], 0)], cout[np.maximum(ids[:, 1:], 0)], there, scored)
-            for k in self.NAMES:
-                m[k] += np.float32(0.1) * (g[k] - m[k])
-                s[k] += np.float32(0.01) * (g[k] * g[k] - s[k])
-                self.w[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            by_name = self.gradient(cin[np.maximum(ids[:, :-1], 0)], cout[np.maximum(ids[:, 1:], 0)], there, scored)
+            g = np.concatenate([by_name[k].ravel() for k in self.NAMES]).astype(np.float32)
+            m += np.float32(0.1) * (g - m)
+            s += np.float32(0.01) * (g * g - s)
+            self.all -= np.float32(rate / (1 - 0.9**step)) * m / (np.sqrt(s * np.float32(1 / (1 - 0.99**step))) + np.float32(1e-8))
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.w[k].ravel() for k in self.NAMES]).astype(np.float64)
+        return self.all.astype(np.float64)
 
     def unpacked(self, flat: np.ndarray) -> Attention:
         out, at = {}, 0
@@ -398,16 +414,35 @@ def _tally(rows: pa.Table) -> pa.Table:
     return pa.table({"unit": pa.array([*rows["unit"].to_pylist(), -1], pa.int64()), "told": pa.array(found, pa.binary())})
 
 
-def _score(model, cin, cout, table, n_train: int, v: int, n_ends: int):
+def _model_scores(model, cin, cout, table):
+    """Per unit the model's log10 probabilities of its documents."""
+
+    def run(batches):
+        for rows in batches:
+            out = []
+            for ids, lengths in zip(rows["ids"], rows["lengths"], strict=True):
+                size = _array(lengths, np.int64)
+                starts = size.cumsum() - size
+                logs = log_probabilities(model, cin, cout, table, _array(ids, np.uint16).astype(np.int64), starts)
+                out.append((np.add.reduceat(logs, starts) / math.log(10)).tobytes())
+            yield pa.RecordBatch.from_arrays([rows["unit"], pa.array(out, pa.binary())], ["unit", "told"])
+
+    return run
+
+
+def _finish(n_train: int, v: int, n_ends: int):
+    """Documents of a unit with both scores; what it was told is counts, 16 bytes a word, and one row of model scores."""
     scale = math.log10(n_train + 0.5 * (v + 1))
 
     def run(unit: pa.Table, told: pa.Table) -> pa.Table:
         if not len(unit):
             return pa.table({n: pa.array([], t) for n, t in zip(SCORES.replace(",", "").split()[::2], (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
         cell = lambda name, kind: _array(unit[name][0], kind)
-        size, lengths, hashes = cell("sizes", np.int64), cell("lengths", np.int64), cell("hashes", np.uint64)
+        size, hashes = cell("sizes", np.int64), cell("hashes", np.uint64)
         words = cell("words", np.uint16 if len(hashes) < 1 << 16 else np.uint32)
-        answers = [np.frombuffer(d, np.uint64).reshape(2, -1) for d in told["told"].to_pylist()]
+        by_model = told["counts"].to_pylist()
+        answers = [np.frombuffer(d, np.uint64).reshape(2, -1) for d, counts in zip(told["told"].to_pylist(), by_model, strict=True) if counts]
+        score = np.frombuffer(told["told"][by_model.index(False)].as_py(), np.float64)
         c = np.zeros(len(hashes), np.int64)
         if answers:
             h, n = np.concatenate(answers, axis=1)
@@ -416,9 +451,7 @@ def _score(model, cin, cout, table, n_train: int, v: int, n_ends: int):
         doc = np.repeat(np.arange(len(size)), size)
         known = np.bincount(doc, weights=(c > 0)[words], minlength=len(size)).astype(np.int64) + (n_ends > 0)
         base = np.bincount(doc, weights=np.log10(c + 0.5)[words], minlength=len(size)) + math.log10(n_ends + 0.5) - (size + 1) * scale
-        starts = lengths.cumsum() - lengths
-        logs = log_probabilities(model, cin, cout, table, cell("ids", np.uint16).astype(np.int64), starts)
-        return pa.table({"key": cell("keys", np.int64), "held": pa.array(cell("held", bool)), "n_tokens": size + 1, "n_known": known, "base_score": base, "score": np.add.reduceat(logs, starts) / math.log(10)})
+        return pa.table({"key": cell("keys", np.int64), "held": pa.array(cell("held", bool)), "n_tokens": size + 1, "n_known": known, "base_score": base, "score": score})
 
     return run
 
@@ -431,8 +464,10 @@ def score(docs: DataFrame, tokenizer_path: str, pattern: str, rounds: int = 3, u
     sums = told.where("unit = -1").mapInArrow(_totals, "v long, n long").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
     ends = keyed(docs).where("not held").count()
     n_train, v = (sums["n"] or 0) + ends, (sums["v"] or 0) + (ends > 0)
-    run = _score(*fit(units, rounds), n_train, v, ends)
-    done = units.drop("counts").groupBy("unit").cogroup(told.where("unit >= 0").groupBy("unit")).applyInArrow(run, SCORES)
+    by_model = _staged(units.select("unit", "ids", "lengths").mapInArrow(_model_scores(*fit(units, rounds)), "unit long, told binary"), "lm-scores")
+    both = told.where("unit >= 0").withColumn("counts", F.lit(True)).unionByName(by_model.withColumn("counts", F.lit(False)))
+    words = units.select("unit", "keys", "held", "sizes", "words", "hashes")
+    done = words.groupBy("unit").cogroup(both.groupBy("unit")).applyInArrow(_finish(n_train, v, ends), SCORES)
     return done.select(doc_id_of(F.col("key")).alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -41,7 +41,7 @@ def test_lm_base_and_distribution(spark):
 
 def test_attention_gradient():
     m = lm_scoring.Attention.fresh()
-    m.w = {k: x.astype(np.float64) for k, x in m.w.items()}
+    m.w = {k: x.astype(np.float64) for k, x in m.w.items()}  # the gradient alone, in full precision
     rng = np.random.default_rng(0)
     x, y = rng.integers(0, sum(lm_scoring.INPUT), (3, 32)), rng.integers(0, sum(lm_scoring.OUTPUT), (3, 32))
     there = np.ones((3, 32), bool)
@@ -289,6 +289,14 @@ def test_attention_learns_every_training_id():
     assert all((a, b) in follows for w in windows for a, b in zip(w.tolist(), w[1:].tolist()) if b >= 0)
 
 
+def test_words_are_encoded_as_by_themselves():
+    ids = lm_scoring.WordIds(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    words = ["the", "a\u00a0b", "\u2028", "don't", "x1-y", "é", "<|endoftext|>", "\u3000z", "ok"]
+    for k in (3, len(words)):
+        flat, n = ids([w.encode() for w in words[:k]])
+        assert [x.tolist() for x in np.split(flat, n.cumsum()[:-1])] == [ids.encode(" " + w) for w in words[:k]]
+
+
 def test_scores_are_the_probabilities_of_a_direct_computation():
     rng = np.random.default_rng(5)
     m = lm_scoring.Attention.fresh(3)
