@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clamp
-from .merge import top
+from ..shared import staged
+from .merge import symmetric_top, top
 
 
 def ancestors(is_a: DataFrame, most_depth: int = 100) -> DataFrame:
-    """(term, ancestor) pairs, the term itself left out; cycles end.  One join a level of depth."""
-    known = is_a.select(F.col("child").alias("term"), F.col("parent").alias("ancestor")).where("term <> ancestor").distinct()
+    """(term, ancestor) pairs, the term itself left out; cycles end.  One join a level of depth.
+
+    Each level is written once, so the plan of a level does not hold those before it.
+    """
+    known = new = staged(is_a.select(F.col("child").alias("term"), F.col("parent").alias("ancestor")).where("term <> ancestor").distinct(), "closure")
     edge = is_a.select(F.col("child").alias("ancestor"), F.col("parent").alias("next"))
-    new = known
     for _ in range(most_depth):
         step = new.join(edge, "ancestor").select("term", F.col("next").alias("ancestor")).where("term <> ancestor").distinct()
-        new = step.join(known, ["term", "ancestor"], "left_anti")
+        new = staged(step.join(known, ["term", "ancestor"], "left_anti"), "closure")
         if new.isEmpty():
             return known
         known = known.unionByName(new)
@@ -49,7 +52,7 @@ def lineage(primary: DataFrame, root: str, most_depth: int = 32) -> DataFrame:
         if path.where(F.col("at") != root).isEmpty():
             break
         up = path.join(step, "at", "left").where((F.col("at") == root) | (F.col("next").isNotNull() & ~F.array_contains("path", F.col("next"))))
-        path = up.select("term", F.when(F.col("at") == root, F.col("path")).otherwise(F.concat("path", F.array("next"))).alias("path"), F.when(F.col("at") == root, F.col("at")).otherwise(F.col("next")).alias("at"))
+        path = staged(up.select("term", F.when(F.col("at") == root, F.col("path")).otherwise(F.concat("path", F.array("next"))).alias("path"), F.when(F.col("at") == root, F.col("at")).otherwise(F.col("next")).alias("at")), "lineage")
     return path.where(F.col("at") == root).select("term", F.array_join("path", ">").alias("lineage"))
 
 
@@ -68,9 +71,9 @@ def one_sided(left: DataFrame, right: DataFrame, ic: DataFrame, closure: DataFra
 
     pairs bounds the work: only the profile pairs it names are compared.
     """
-    self_up = lambda d, name: d.join(closure, "term", "left").select("profile", "term", "w", "ic", F.explode(F.array_compact(F.array("term", "ancestor"))).alias(name)).distinct()
-    ours = self_up(left, "up")
-    theirs = self_up(right, "up").select(F.col("profile").alias("b"), "up").distinct()
+    with_ups = lambda d, name: d.join(closure, "term", "left").select("profile", "term", "w", "ic", F.explode(F.array_compact(F.array("term", "ancestor"))).alias(name)).distinct()
+    ours = with_ups(left, "up")
+    theirs = with_ups(right, "up").select(F.col("profile").alias("b"), "up").distinct()
     worth = ic.select(F.col("term").alias("up"), F.col("ic").alias("up_ic"))
     met = pairs.join(ours.withColumnRenamed("profile", "a"), "a").join(theirs, ["b", "up"]).join(worth, "up")
     mica = met.groupBy("a", "b", "term").agg(F.max("up_ic").alias("mica"), F.first("w").alias("w"), F.first("ic").alias("ic"))
@@ -87,12 +90,86 @@ def similarity(profiles: DataFrame, ic: DataFrame, closure: DataFrame, pairs: Da
     return ab.join(ba, ["a", "b"]).select("a", "b", clamp((F.col("s") + F.col("t")) / 2).alias("similarity"))
 
 
-def cosine_top(profiles: DataFrame, ic: DataFrame, k: int, least_ic: float, least_shared: int = 1) -> DataFrame:
-    """(a, b, cosine): the k nearest of each profile by cosine of IC weights, kept by either side."""
-    v = profiles.select("profile", "term").distinct().join(ic.where(F.col("ic") >= least_ic), "term").select("profile", "term", "ic")
+def expanded(annotations: DataFrame, closure: DataFrame) -> DataFrame:
+    """(profile, term): the terms of each profile and all above them."""
+    own = annotations.select("profile", "term")
+    return own.unionByName(own.join(closure, "term").select("profile", F.col("ancestor").alias("term"))).distinct()
+
+
+def cosine_top(profiles: DataFrame, ic: DataFrame, closure: DataFrame, k: int, least_ic: float) -> DataFrame:
+    """(a, b, cosine): the k nearest of each profile by cosine of the IC weights of all terms it holds, kept by either side.
+
+    Only profiles that share an informative term meet: at `least_ic` a term is held by a share of
+    exp(-least_ic) of them at most.
+    """
+    v = expanded(profiles, closure).join(ic.where(F.col("ic") >= least_ic), "term").select("profile", "term", "ic")
     norm = v.groupBy("profile").agg(F.sqrt(F.sum(F.col("ic") * F.col("ic"))).alias("norm"))
-    u = v.join(norm, "profile").select("profile", "term", (F.col("ic") / F.col("norm")).alias("x"))
+    u = staged(v.join(norm, "profile").select("profile", "term", (F.col("ic") / F.col("norm")).alias("x")), "vectors")
     met = u.select(F.col("profile").alias("a"), "term", F.col("x").alias("xa")).join(u.select(F.col("profile").alias("b"), "term", F.col("x").alias("xb")), "term").where("a < b")
-    sims = met.groupBy("a", "b").agg(F.round(F.sum(F.col("xa") * F.col("xb")), 9).alias("score"), F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least_shared)
-    both = sims.select(F.col("a").alias("own"), F.col("b").alias("other"), "a", "b", "score").unionByName(sims.select(F.col("b").alias("own"), F.col("a").alias("other"), "a", "b", "score"))
+    sims = met.groupBy("a", "b").agg(F.round(F.sum(F.col("xa") * F.col("xb")), 6).alias("score"))
+    both = sims.select(F.explode(F.array(F.struct(F.col("a").alias("own"), F.col("b").alias("other")), F.struct(F.col("b").alias("own"), F.col("a").alias("other")))).alias("s"), "a", "b", "score").select("s.*", "a", "b", "score")
     return top(both, ["own"], [F.desc("score"), F.asc("other")], k).select("a", "b", F.col("score").alias("cosine")).distinct()
+
+
+def specific_terms(annotations: DataFrame, ic: DataFrame, least: float = 2.0) -> DataFrame:
+    return annotations.select("profile", "term").distinct().join(ic.where(F.col("ic") >= least).select("term", "ic"), "term")
+
+
+def similar(profiles: DataFrame, ic: DataFrame, closure: DataFrame, pairs: DataFrame, threshold: float, least_shared: int = 2, k: int = 8) -> DataFrame:
+    """Inferred links of profiles: similar enough, enough specific terms in common, among the k best of either side."""
+    spec = specific_terms(profiles, ic)
+    shared = pairs.join(spec.select(F.col("profile").alias("a"), "term"), "a").join(spec.select(F.col("profile").alias("b"), "term"), ["b", "term"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    sims = similarity(profiles, ic, closure, pairs).withColumn("score", F.round("similarity", 6)).where(F.col("score") >= threshold)
+    able = staged(sims.join(shared.where(F.col("shared") >= least_shared), ["a", "b"]).select("a", "b", "score", "shared"), "similar")
+    kept = symmetric_top(able, k)
+    s = F.col("score")
+    return kept.join(able.select("a", "b", "shared"), ["a", "b"]).select("a", "b", s.alias("similarity"), "shared", F.round(F.least(0.30 + 0.55 * s, F.lit(0.75)), 6).alias("score"), F.round(0.9 * s, 6).alias("cluster_score"))
+
+
+def calibration(profiles: DataFrame, ic: DataFrame, closure: DataFrame, n_pairs: int, design: float, least_terms: int = 3) -> DataFrame:
+    """One row: median, p95 and p99 of the similarity of unrelated pairs, and the threshold to use.
+
+    The pairs are neighbours in the order of the profiles' digests: 2 * n_pairs profiles, a stated bound.
+    """
+    pool = profiles.groupBy("profile").agg(F.countDistinct("term").alias("n")).where(F.col("n") >= least_terms)
+    some = pool.select("profile", F.md5(F.col("profile").cast("string")).alias("h")).orderBy("h").limit(2 * n_pairs)
+    ranked = some.withColumn("r", F.row_number().over(Window.orderBy("h")) - 1)  # a bounded table
+    ab = ranked.groupBy(F.floor(F.col("r") / 2)).agg(F.min("profile").alias("a"), F.max("profile").alias("b")).where("a < b").select("a", "b")
+    s = similarity(profiles, ic, closure, ab).select(F.round("similarity", 6).alias("s"))
+    p = lambda q: F.round(F.percentile("s", q), 4)
+    return s.agg(F.count(F.lit(1)).alias("n"), p(0.5).alias("median"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.greatest(F.lit(design), p(0.95)).alias("threshold"))
+
+
+def rank_profiles(queries: DataFrame, profiles: DataFrame, excluded: DataFrame, ic: DataFrame, closure: DataFrame, n: int, specific: float = 2.0) -> DataFrame:
+    """The n best profiles of each query: similarity less the share of its information that contradicts them.
+
+    queries (query, term, present boolean); excluded (profile, term): terms a profile is known not to have.
+    A query term is shared with a profile's term that equals it or lies below it, or above it if that term
+    is specific.  Absent terms that a profile holds, and present ones that it excludes, count against it.
+    """
+    w = staged(weighted(profiles, ic), "weighted")
+    q = staged(queries.distinct(), "queries")
+    present = q.where("present").select("query", "term").join(ic.select("term", "ic"), "term")
+    up = closure.select("term", "ancestor")
+    self_up = lambda d: d.withColumn("ancestor", F.col("term")).unionByName(d.join(up, "term"), allowMissingColumns=True)
+    below = self_up(profiles.select("profile", "term").distinct()).select("profile", F.col("term").alias("own"), F.col("ancestor").alias("term"))
+    same_or_below = present.select("query", "term").join(below, "term").select("query", "profile", "term", "own", F.when(F.col("own") == F.col("term"), "same").otherwise("more_specific").alias("match"))
+    above = present.select("query", "term").join(up, "term").join(ic.where(F.col("ic") >= specific).select(F.col("term").alias("ancestor")), "ancestor").select("query", "term", F.col("ancestor").alias("own"))
+    broader = above.join(profiles.select("profile", F.col("term").alias("own")).distinct(), "own").select("query", "profile", "term", "own", F.lit("broader").alias("match"))
+    shared = same_or_below.unionByName(broader).groupBy("query", "profile").agg(F.count(F.lit(1)).alias("n_shared"), F.count_if(F.col("match") == "same").alias("n_same"), F.count_if(F.col("match") == "broader").alias("n_broader"))
+    shared = staged(shared, "shared")
+    pairs = shared.select(F.col("query").alias("a"), F.col("profile").alias("b"))
+    asked = present.where("ic > 0").select(F.col("query").alias("profile"), "term", F.lit(1.0).alias("w"), "ic")
+    there = one_sided(asked, w, ic, closure, pairs)
+    back = one_sided(w, asked, ic, closure, pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("s").alias("t"))
+    sim = there.join(back, ["a", "b"]).select(F.col("a").alias("query"), F.col("b").alias("profile"), clamp((F.col("s") + F.col("t")) / 2).alias("sim"))
+    best = profiles.groupBy("profile", "term").agg(frequency_weight(F.max("frequency")).alias("w"))
+    held = self_up(best).groupBy("profile", F.col("ancestor").alias("term")).agg(F.max("w").alias("w"))
+    against = q.where("not present").select("query", "term").join(ic.select("term", "ic"), "term").join(held, "term").select("query", "profile", (F.col("ic") * F.col("w")).alias("x"))
+    ruled_out = self_up(present).select("query", F.col("term").alias("asked"), "ic", F.col("ancestor").alias("term")).join(excluded.distinct(), "term").select("query", "profile", "asked", "ic").distinct().select("query", "profile", F.col("ic").alias("x"))
+    lost = against.unionByName(ruled_out).groupBy("query", "profile").agg(F.sum("x").alias("against"))
+    total = q.join(ic.select("term", "ic"), "term").groupBy("query").agg(F.sum("ic").alias("total"))
+    joined = shared.join(sim, ["query", "profile"]).join(lost, ["query", "profile"], "left").join(total, "query")
+    share = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.coalesce("against", F.lit(0.0)), F.col("total")), F.lit(0.0)))
+    scored = joined.withColumn("score", F.round(F.col("sim") * (1 - share), 6))
+    return top(scored, ["query"], [F.desc("score"), F.asc("profile")], n).select("query", "profile", "score", "n_shared", "n_same", "n_broader", "rank")

@@ -11,6 +11,7 @@ from ..operators import inference as I
 from ..operators import merge as M
 from ..operators import ontology as O
 from ..operators import search as S
+from ..shared import staged
 from ..sources import tables as T
 from ..streaming import events as E
 
@@ -112,9 +113,9 @@ def majority_vote(spark, d):
     return M.majority(o, "o_custkey", "p_brand").select("o_custkey", "p_brand", "n")
 
 
-@query("WITH b AS (SELECT DISTINCT s_nationkey, s_suppkey, p_brand FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_quantity > 48), c AS (SELECT s_nationkey, p_brand, count(DISTINCT s_suppkey) AS cnt FROM b GROUP BY ALL), z AS (SELECT s_nationkey, count(DISTINCT s_suppkey) AS size FROM b GROUP BY 1), f AS (SELECT p_brand, count(*) AS df FROM c GROUP BY 1), s AS (SELECT s_nationkey, p_brand, round(cnt / size * ln(1 + (SELECT count(*) FROM z) / df), 9) AS score FROM c JOIN z USING (s_nationkey) JOIN f USING (p_brand)) SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY score DESC, p_brand)::INT AS rank FROM s QUALIFY rank <= 3")
+@query("WITH b AS (SELECT DISTINCT s_nationkey, s_suppkey, p_brand FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey), c AS (SELECT s_nationkey, p_brand, count(DISTINCT s_suppkey) AS cnt FROM b GROUP BY ALL), z AS (SELECT s_nationkey, count(DISTINCT s_suppkey) AS size FROM b GROUP BY 1), f AS (SELECT p_brand, count(*) AS df FROM c GROUP BY 1), s AS (SELECT s_nationkey, p_brand, round(cnt / size * ln(1 + (SELECT count(*) FROM z) / df), 9) AS score FROM c JOIN z USING (s_nationkey) JOIN f USING (p_brand)) SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY score DESC, p_brand)::INT AS rank FROM s QUALIFY rank <= 3")
 def distinctive_terms(spark, d):
-    b = T.read(spark, d, "lineitem").where("l_quantity > 48").join(T.read(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(T.read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    b = T.read(spark, d, "lineitem").join(T.read(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(T.read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return M.distinctive(b, "s_nationkey", "p_brand", "s_suppkey", 3)
 
 
@@ -164,16 +165,15 @@ def descendant_counts(spark, d):
 
 
 def _profiles(spark, d):
-    part = T.read(spark, d, "part")
-    p = T.profiles(T.read(spark, d, "lineitem").where("l_quantity >= 40"), T.read(spark, d, "orders"), part)
-    closure = O.ancestors(T.is_a(part))
+    p = T.profiles(T.read(spark, d, "lineitem"), T.read(spark, d, "orders"))
+    closure = O.ancestors(T.is_a(T.read(spark, d, "part")))
     return p, closure, O.information_content(p, closure)
 
 
-SQL_PROFILES = "b AS (SELECT o_custkey AS profile, unnest(['BRAND:' || p_brand, 'TYPE:' || p_type]) AS term FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 40), c AS (SELECT profile, term, count(*) AS n FROM b GROUP BY ALL), tot AS (SELECT profile, sum(n) AS total FROM c WHERE term LIKE 'TYPE:%' GROUP BY 1), pr AS (SELECT profile, term, n / total::DOUBLE AS frequency FROM c JOIN tot USING (profile)), ann AS (SELECT profile, term FROM pr UNION SELECT profile, 'ROOT' FROM pr), ic AS (SELECT term, count(DISTINCT profile) AS n, greatest(0, -ln(count(DISTINCT profile) / (SELECT count(DISTINCT profile) FROM pr)::DOUBLE)) AS ic FROM ann GROUP BY 1)"
+SQL_PROFILES = SQL_ISA + """, tc AS (SELECT DISTINCT child AS term, child AS up FROM isa UNION SELECT DISTINCT term, ancestor FROM cl), c AS (SELECT o_custkey AS profile, 'PART:' || l_partkey AS term, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL), pr AS (SELECT profile, term, n / sum(n) OVER (PARTITION BY profile)::DOUBLE AS frequency FROM c), pu AS (SELECT DISTINCT profile, up AS term FROM pr JOIN tc USING (term)), ic AS (SELECT term, count(*) AS n, greatest(0::DOUBLE, -ln(count(*) / (SELECT count(DISTINCT profile) FROM pr)::DOUBLE)) AS ic FROM pu GROUP BY 1)"""
 
 
-@query("WITH " + SQL_PROFILES + " SELECT term, n, round(ic, 9) AS ic FROM ic")
+@query("WITH RECURSIVE " + SQL_PROFILES + " SELECT term, n, round(ic, 9) AS ic FROM ic")
 def term_ic(spark, d):
     return _profiles(spark, d)[2].select("term", "n", F.round("ic", 9).alias("ic"))
 
@@ -184,30 +184,58 @@ def lineage(spark, d):
     return O.lineage(O.primary_parent(isa, O.ancestors(isa)), "ROOT")
 
 
-def _pairs(profiles):
-    """Profile pairs of neighbouring ids: a bounded, stated query set."""
-    p = profiles.select("profile").distinct()
-    return p.select(F.col("profile").alias("a"), F.explode(F.array(F.col("profile") + 1, F.col("profile") + 2)).alias("b")).join(p.withColumnRenamed("profile", "b"), "b", "left_semi").select("a", "b")
+SQL_COSINE = SQL_PROFILES + ", v AS (SELECT profile, term, ic FROM pu JOIN ic USING (term) WHERE ic >= 0.5), u AS (SELECT profile, term, ic / sqrt(sum(ic * ic) OVER (PARTITION BY profile)) AS x FROM v), cs AS (SELECT p.profile AS a, q.profile AS b, round(sum(p.x * q.x), 6) AS score FROM u p JOIN u q ON p.term = q.term AND p.profile < q.profile GROUP BY ALL), co AS (SELECT a AS own, b AS other, * FROM cs UNION ALL SELECT b, a, * FROM cs), ck AS (SELECT a, b, score FROM co QUALIFY row_number() OVER (PARTITION BY own ORDER BY score DESC, other) <= 5), cand AS (SELECT DISTINCT a, b, score AS cosine FROM ck)"
+SQL_BMA = ", w AS (SELECT profile, term, greatest(0, least(1, frequency)) AS w, ic FROM pr JOIN ic USING (term) WHERE ic > 0 AND frequency > 0), both_ AS (SELECT a, b FROM cand UNION SELECT b, a FROM cand), mi AS (SELECT a, b, x.term, any_value(w) AS w, any_value(x.ic) AS ic, max(i2.ic) AS mica FROM both_ JOIN w x ON x.profile = a JOIN tc ON tc.term = x.term JOIN pu y ON y.profile = b AND y.term = tc.up JOIN ic i2 ON i2.term = tc.up GROUP BY a, b, x.term), num AS (SELECT a, b, sum(w * least(ic, mica)) AS num FROM mi GROUP BY ALL), den AS (SELECT profile AS a, sum(w * ic) AS den FROM w GROUP BY 1), si AS (SELECT a, b, CASE WHEN den > 0 THEN coalesce(num, 0) / den ELSE 0 END AS s FROM both_ LEFT JOIN num USING (a, b) LEFT JOIN den USING (a)), bma AS (SELECT c.a, c.b, round(greatest(0, least(1, (x.s + y.s) / 2)), 6) AS similarity FROM (SELECT DISTINCT a, b FROM cand) c JOIN si x ON x.a = c.a AND x.b = c.b JOIN si y ON y.a = c.b AND y.b = c.a)"
 
 
-@query(
-    "WITH "
-    + SQL_PROFILES
-    + ", w AS (SELECT profile, term, greatest(0, least(1, frequency)) AS w, ic FROM pr JOIN ic USING (term) WHERE ic > 0 AND frequency > 0), ps AS (SELECT DISTINCT x.profile AS a, y.profile AS b FROM pr x JOIN pr y ON y.profile IN (x.profile + 1, x.profile + 2)), both_ AS (SELECT a, b FROM ps UNION SELECT b, a FROM ps), num AS (SELECT a, b, sum(x.w * x.ic) AS num FROM both_ JOIN w x ON x.profile = a JOIN w y ON y.profile = b AND y.term = x.term GROUP BY ALL), den AS (SELECT profile AS a, sum(w * ic) AS den FROM w GROUP BY 1), s AS (SELECT a, b, CASE WHEN den > 0 THEN coalesce(num, 0) / den ELSE 0 END AS s FROM both_ LEFT JOIN num USING (a, b) LEFT JOIN den USING (a)) SELECT ps.a, ps.b, round((u.s + v.s) / 2, 6) AS similarity FROM ps JOIN s u ON u.a = ps.a AND u.b = ps.b JOIN s v ON v.a = ps.b AND v.b = ps.a"
-)
+@query("WITH RECURSIVE " + SQL_COSINE + " SELECT a, b, cosine FROM cand")
+def cosine_topk(spark, d):
+    p, closure, ic = _profiles(spark, d)
+    return O.cosine_top(p, ic, closure, 5, 0.5)
+
+
+def _candidates(spark, d):
+    p, closure, ic = _profiles(spark, d)
+    ic = staged(ic, "ic")
+    return p, closure, ic, staged(O.cosine_top(p, ic, closure, 5, 0.5).select("a", "b"), "candidates")
+
+
+@query("WITH RECURSIVE " + SQL_COSINE + SQL_BMA + " SELECT * FROM bma")
 def bma_similarity(spark, d):
+    p, closure, ic, pairs = _candidates(spark, d)
+    return O.similarity(p, ic, closure, pairs).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("WITH RECURSIVE " + SQL_COSINE + SQL_BMA + ", sp AS (SELECT profile, term FROM pr JOIN ic USING (term) WHERE ic >= 2), sh AS (SELECT a, b, count(*) AS shared FROM bma JOIN sp x ON x.profile = a JOIN sp y ON y.profile = b AND y.term = x.term GROUP BY ALL), ab AS (SELECT * FROM bma JOIN sh USING (a, b) WHERE similarity >= 0.1 AND shared >= 2), o2 AS (SELECT a AS own, b AS other, * FROM ab UNION ALL SELECT b, a, * FROM ab), kp AS (SELECT DISTINCT a, b, similarity, shared FROM (SELECT * FROM o2 QUALIFY row_number() OVER (PARTITION BY own ORDER BY similarity DESC, other DESC) <= 8)) SELECT *, round(least(0.30::DOUBLE + 0.55::DOUBLE * similarity, 0.75::DOUBLE), 6) AS score, round(0.9::DOUBLE * similarity, 6) AS cluster_score FROM kp")
+def similar_symptoms(spark, d):
+    p, closure, ic, pairs = _candidates(spark, d)
+    return O.similar(p, ic, closure, pairs, 0.1)
+
+
+@query("WITH RECURSIVE " + SQL_PROFILES + ", pl AS (SELECT profile, md5(profile::VARCHAR) AS h FROM pr GROUP BY 1 HAVING count(*) >= 3 ORDER BY h LIMIT 1000), rk AS (SELECT profile, (row_number() OVER (ORDER BY h) - 1) // 2 AS g FROM pl), cand AS (SELECT min(profile) AS a, max(profile) AS b FROM rk GROUP BY g HAVING a < b)" + SQL_BMA + " SELECT count(*) AS n, round(quantile_cont(similarity, 0.5), 4) AS median, round(quantile_cont(similarity, 0.95), 4) AS p95, round(quantile_cont(similarity, 0.99), 4) AS p99, greatest(0.45::DOUBLE, round(quantile_cont(similarity, 0.95), 4)) AS threshold FROM bma")
+def similarity_calibration(spark, d):
     p, closure, ic = _profiles(spark, d)
-    return O.similarity(p, ic, closure, _pairs(p)).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return O.calibration(p, staged(ic, "ic"), closure, 500, 0.45)
+
+
+def _symptom_queries(spark, d):
+    """Every customer whose id is divisible by 20 asks: parts and types it bought, and brands it says it has not."""
+    lines = T.read(spark, d, "lineitem").join(T.read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(T.read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    part, number = F.concat(F.lit("PART:"), "l_partkey"), F.col("l_linenumber")
+    term = F.when(number == 1, part).when(number == 2, F.concat(F.lit("TYPE:"), "p_type")).when(number == 3, F.concat(F.lit("PART:"), ((F.col("l_partkey") * 7) % 50 + 1)))
+    q = lines.where("o_custkey % 20 = 0 and l_linenumber <= 3").select(F.col("o_custkey").alias("query"), term.alias("term"), (number < 3).alias("present"))
+    return q, lines.where("l_linenumber = 7").select(F.col("o_custkey").alias("profile"), part.alias("term"))
 
 
 @query(
-    "WITH "
+    "WITH RECURSIVE "
     + SQL_PROFILES
-    + ", v AS (SELECT DISTINCT profile, term, ic FROM pr JOIN ic USING (term) WHERE ic >= 0.5), u AS (SELECT profile, term, ic / sqrt(sum(ic * ic) OVER (PARTITION BY profile)) AS x FROM v), s AS (SELECT p.profile AS a, q.profile AS b, round(sum(p.x * q.x), 9) AS score FROM u p JOIN u q ON p.term = q.term AND p.profile < q.profile GROUP BY ALL), o AS (SELECT a AS own, b AS other, * FROM s UNION ALL SELECT b, a, * FROM s), k AS (SELECT a, b, score FROM o QUALIFY row_number() OVER (PARTITION BY own ORDER BY score DESC, other) <= 5) SELECT DISTINCT a, b, score AS cosine FROM k"
+    + ", ln AS (SELECT o_custkey AS c, l_linenumber AS k, l_partkey AS p, p_type FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey), q AS (SELECT DISTINCT c AS query, CASE k WHEN 1 THEN 'PART:' || p WHEN 2 THEN 'TYPE:' || p_type ELSE 'PART:' || ((p * 7) % 50 + 1) END AS term, k < 3 AS present FROM ln WHERE c % 20 = 0 AND k <= 3), ex AS (SELECT DISTINCT c AS profile, 'PART:' || p AS term FROM ln WHERE k = 7), w AS (SELECT profile, term, greatest(0, least(1, frequency)) AS w, ic FROM pr JOIN ic USING (term) WHERE ic > 0 AND frequency > 0), qi AS (SELECT query, q.term, ic FROM q JOIN ic USING (term) WHERE present), mt AS (SELECT query, profile, qi.term, pr.term AS own, pr.term = qi.term AS same, false AS broader FROM qi JOIN tc ON tc.up = qi.term JOIN pr ON pr.term = tc.term UNION ALL SELECT query, profile, qi.term, pr.term, false, true FROM qi JOIN tc ON tc.term = qi.term AND tc.up <> tc.term JOIN ic ON ic.term = tc.up AND ic.ic >= 2 JOIN pr ON pr.term = tc.up), sh AS (SELECT query, profile, count(*) AS n_shared, count(*) FILTER (WHERE same) AS n_same, count(*) FILTER (WHERE broader) AS n_broader FROM mt GROUP BY ALL), qu AS (SELECT DISTINCT query, tc.up AS term FROM qi JOIN tc USING (term) WHERE qi.ic > 0), m1 AS (SELECT sh.query, sh.profile, qi.term, any_value(qi.ic) AS ic, max(i.ic) AS mica FROM sh JOIN qi ON qi.query = sh.query AND qi.ic > 0 JOIN tc ON tc.term = qi.term JOIN ic i ON i.term = tc.up JOIN (SELECT DISTINCT w.profile, tc.up FROM w JOIN tc USING (term)) y ON y.profile = sh.profile AND y.up = tc.up GROUP BY ALL), d1 AS (SELECT query, sum(ic) AS den FROM qi WHERE ic > 0 GROUP BY 1), s1 AS (SELECT query, profile, sum(least(ic, mica)) / any_value(den) AS s FROM m1 JOIN d1 USING (query) GROUP BY ALL), m2 AS (SELECT sh.query, sh.profile, w.term, any_value(w.w) AS w, any_value(w.ic) AS ic, max(i.ic) AS mica FROM sh JOIN w ON w.profile = sh.profile JOIN tc ON tc.term = w.term JOIN ic i ON i.term = tc.up JOIN qu ON qu.query = sh.query AND qu.term = tc.up GROUP BY ALL), d2 AS (SELECT profile, sum(w * ic) AS den FROM w GROUP BY 1), s2 AS (SELECT query, profile, sum(w * least(ic, mica)) / any_value(den) AS s FROM m2 JOIN d2 USING (profile) GROUP BY ALL), hd AS (SELECT profile, up AS term, max(greatest(0, least(1, frequency))) AS w FROM pr JOIN tc USING (term) GROUP BY ALL), ag AS (SELECT query, profile, ic * w AS x FROM q JOIN ic USING (term) JOIN hd USING (term) WHERE NOT present UNION ALL SELECT query, profile, ic FROM (SELECT DISTINCT query, ex.profile, qi.term, qi.ic FROM qi JOIN tc ON tc.term = qi.term JOIN ex ON ex.term = tc.up)), lo AS (SELECT query, profile, sum(x) AS against FROM ag GROUP BY ALL), tt AS (SELECT query, sum(ic) AS total FROM q JOIN ic USING (term) GROUP BY 1), sc AS (SELECT sh.*, round(greatest(0, least(1, (coalesce(s1.s, 0) + coalesce(s2.s, 0)) / 2)) * (1 - least(1, CASE WHEN total > 0 THEN coalesce(against, 0) / total ELSE 0 END)), 6) AS score FROM sh LEFT JOIN s1 USING (query, profile) LEFT JOIN s2 USING (query, profile) LEFT JOIN lo USING (query, profile) JOIN tt USING (query)) SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, profile)::INT AS rank FROM sc QUALIFY rank <= 10"
 )
-def cosine_topk(spark, d):
-    p, _, ic = _profiles(spark, d)
-    return O.cosine_top(p, ic, 5, 0.5)
+def symptom_ranking(spark, d):
+    p, closure, ic = _profiles(spark, d)
+    q, excluded = _symptom_queries(spark, d)
+    return O.rank_profiles(q, staged(p, "profiles"), excluded, staged(ic, "ic"), closure, 10)
 
 
 SQL_MECH = "m AS (SELECT l_suppkey AS gene, l_partkey AS disease, count(*) AS n, round(count(*) FILTER (WHERE l_returnflag = 'A')::DOUBLE / count(*), 3) AS share FROM lineitem GROUP BY ALL), mt AS (SELECT gene, disease, n, share, CASE WHEN share >= 0.4 THEN 'loss_of_function' WHEN n >= 2 AND share <= 0.05 THEN 'non_lof' END AS mechanism, round(0.45::DOUBLE + 0.4::DOUBLE * least(1, log10(n + 1) / 2), 6) AS weight FROM m WHERE n >= 2)"
@@ -228,25 +256,26 @@ def same_gene_links(spark, d):
     return I.same_gene(_mechanisms(spark, d), 60)
 
 
-SQL_GENES = "ge AS (SELECT l_partkey AS disease, l_suppkey AS gene, round(least(0.99::DOUBLE, count(*) / 5.0::DOUBLE), 6) AS confidence FROM lineitem WHERE l_returnflag = 'A' AND l_linestatus = 'F' AND l_quantity > 45 GROUP BY ALL)"
+SQL_GENES = "ge AS (SELECT l_partkey AS disease, l_orderkey AS gene, round(max(0.5::DOUBLE + l_discount * 4), 6) AS confidence FROM lineitem GROUP BY ALL)"
 
 
 def _genes(spark, d):
-    l = T.read(spark, d, "lineitem").where("l_returnflag = 'A' and l_linestatus = 'F' and l_quantity > 45")
-    return l.groupBy(F.col("l_partkey").alias("disease"), F.col("l_suppkey").alias("gene")).agg(F.round(F.least(F.lit(0.99), F.count(F.lit(1)) / 5.0), 6).alias("confidence"))
+    """Parts as diseases and orders as genes: a gene has as many diseases as an order has parts."""
+    return T.read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("disease"), F.col("l_orderkey").alias("gene")).agg(F.round(F.max(0.5 + F.col("l_discount") * 4), 6).alias("confidence"))
 
 
-@query("WITH " + SQL_GENES + ", k AS (SELECT * FROM ge QUALIFY count(*) OVER (PARTITION BY gene) BETWEEN 2 AND 25) SELECT x.disease AS a, y.disease AS b, gene, round(0.85::DOUBLE * least(x.confidence, y.confidence), 6) AS score FROM k x JOIN k y USING (gene) WHERE x.disease < y.disease AND (x.disease + y.disease) % 7 <> 0 QUALIFY row_number() OVER (PARTITION BY x.disease, y.disease ORDER BY score DESC, gene) = 1")
+@query("WITH " + SQL_GENES + ", rt AS (SELECT DISTINCT l_orderkey AS gene, l_partkey AS disease FROM lineitem WHERE l_returnflag = 'R'), cv AS (SELECT DISTINCT x.disease AS a, y.disease AS b FROM rt x JOIN rt y USING (gene) WHERE x.disease < y.disease), k AS (SELECT * FROM ge QUALIFY count(*) OVER (PARTITION BY gene) BETWEEN 2 AND 25) SELECT x.disease AS a, y.disease AS b, gene, round(0.85::DOUBLE * least(x.confidence, y.confidence), 6) AS score FROM k x JOIN k y USING (gene) ANTI JOIN cv ON cv.a = x.disease AND cv.b = y.disease WHERE x.disease < y.disease QUALIFY row_number() OVER (PARTITION BY x.disease, y.disease ORDER BY score DESC, gene) = 1")
 def shared_gene(spark, d):
-    g = _genes(spark, d)
-    covered = I.pairs_in_group(g, "gene", "disease", 25).where("(a + b) % 7 = 0").select("a", "b").distinct()
-    return I.shared_gene(g, covered, 25)
+    """Pairs that returned orders already link are covered by another relation."""
+    returned = T.read(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("gene"), F.col("l_partkey").alias("disease"))
+    return I.shared_gene(_genes(spark, d), I.pairs_in_group(returned, "gene", "disease", 25).select("a", "b").distinct(), 25)
 
 
-@query("WITH " + SQL_GENES + ", mem AS (SELECT s_nationkey AS pathway, s_suppkey AS gene, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier), f AS (SELECT disease, gene FROM ge WHERE disease % 10 = 0), o AS (SELECT DISTINCT disease, pathway, n FROM mem JOIN f USING (gene) WHERE n <= 60), p AS (SELECT x.disease AS a, y.disease AS b, pathway, 0.72::DOUBLE / (1 + log10(x.n)) AS w FROM o x JOIN o y USING (pathway) WHERE x.disease < y.disease AND NOT EXISTS (SELECT 1 FROM f i JOIN f j USING (gene) WHERE i.disease = x.disease AND j.disease = y.disease)), r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY w DESC, pathway) AS r FROM p) SELECT a, b, count(*) AS n, round(1 - product(CASE WHEN r <= 5 THEN 1 - w ELSE 1 END), 6) AS rank_score, round(1 - product(CASE WHEN r <= 3 THEN 1 - w ELSE 1 END), 6) AS score FROM r GROUP BY ALL")
+@query("WITH mem AS (SELECT o_custkey AS pathway, o_orderkey AS gene FROM orders), ps AS (SELECT DISTINCT l_partkey * 100000 + l_suppkey AS disease, l_orderkey AS gene FROM lineitem), f AS (SELECT * FROM ps QUALIFY count(*) OVER (PARTITION BY disease) <= 8), z AS (SELECT *, count(*) OVER (PARTITION BY pathway) AS n FROM mem), o AS (SELECT DISTINCT disease, pathway, n FROM z JOIN f USING (gene) WHERE n <= 60), sm AS (SELECT DISTINCT i.disease AS a, j.disease AS b FROM f i JOIN f j USING (gene) WHERE i.disease < j.disease), p AS (SELECT x.disease AS a, y.disease AS b, pathway, 0.72::DOUBLE / (1 + log10(x.n)) AS w FROM o x JOIN o y USING (pathway) ANTI JOIN sm ON sm.a = x.disease AND sm.b = y.disease WHERE x.disease < y.disease), r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY w DESC, pathway) AS r FROM p), g AS (SELECT a, b, count(*) AS n, round(1 - product(CASE WHEN r <= 5 THEN 1 - w ELSE 1 END), 6) AS rank_score, round(1 - product(CASE WHEN r <= 3 THEN 1 - w ELSE 1 END), 6) AS score FROM r GROUP BY ALL), os AS (SELECT a AS own, b AS other, a, b, rank_score FROM g UNION ALL SELECT b, a, a, b, rank_score FROM g), kp AS (SELECT DISTINCT a, b FROM (SELECT * FROM os QUALIFY row_number() OVER (PARTITION BY own ORDER BY rank_score DESC, other DESC) <= 8)) SELECT g.* FROM g SEMI JOIN kp USING (a, b)")
 def shared_pathway(spark, d):
-    members = T.read(spark, d, "supplier").select(F.col("s_nationkey").alias("pathway"), F.col("s_suppkey").alias("gene"))
-    return I.shared_pathway(members, _genes(spark, d).where("disease % 10 = 0").select("disease", "gene"), 60)
+    """Customers as pathways of their orders; a part from one supplier is a disease."""
+    members = T.read(spark, d, "orders").select(F.col("o_custkey").alias("pathway"), F.col("o_orderkey").alias("gene"))
+    return I.shared_pathway(members, T.read(spark, d, "lineitem").select((F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("disease"), F.col("l_orderkey").alias("gene")), 60)
 
 
 SQL_IV = "iv AS (SELECT p_brand AS chromosome, p_partkey AS id, (floor(p_retailprice * 100))::BIGINT AS s, (floor(p_retailprice * 100))::BIGINT + p_size AS e FROM part), nr AS (SELECT x.id, y.id AS other, greatest(0, y.s - x.e, x.s - y.e) AS gap FROM iv x JOIN iv y USING (chromosome) WHERE x.id <> y.id AND greatest(0, y.s - x.e, x.s - y.e) <= 2000), nk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY gap, other)::INT AS rank FROM nr QUALIFY rank <= 3)"
@@ -263,11 +292,11 @@ def nearest_k(spark, d):
 
 
 def _wide(spark, d):
-    i = _intervals(spark, d).where("id % 20 = 0")
+    i = _intervals(spark, d)
     return i.select("chromosome", "id", F.greatest(F.lit(0), F.col("start") - 1500).alias("start"), (F.col("end") + 1500).alias("end"))
 
 
-SQL_OV = SQL_IV + ", wd AS (SELECT chromosome, id, greatest(0, s - 1500) AS s, e + 1500 AS e FROM iv WHERE id % 20 = 0), ov AS (SELECT i.id AS a, w.id AS b, least(i.e, w.e) - greatest(i.s, w.s) + 1 AS bases FROM iv i JOIN wd w USING (chromosome) WHERE least(i.e, w.e) - greatest(i.s, w.s) + 1 > 0)"
+SQL_OV = SQL_IV + ", wd AS (SELECT chromosome, id, greatest(0, s - 1500) AS s, e + 1500 AS e FROM iv), ov AS (SELECT i.id AS a, w.id AS b, least(i.e, w.e) - greatest(i.s, w.s) + 1 AS bases FROM iv i JOIN wd w USING (chromosome) WHERE least(i.e, w.e) - greatest(i.s, w.s) + 1 > 0)"
 
 
 @query("WITH " + SQL_OV + " SELECT * FROM ov")
@@ -281,9 +310,9 @@ def near_links(spark, d):
     return I.near_links(I.nearest(i, 2000, 3), I.overlaps(i, _wide(spark, d), 5000).select("a", "b"))
 
 
-@query("WITH w AS (SELECT DISTINCT o_custkey AS person, l_suppkey AS topic FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 47), k AS (SELECT * FROM w QUALIFY count(*) OVER (PARTITION BY person) BETWEEN 2 AND 15), s AS (SELECT x.topic AS a, y.topic AS b, count(DISTINCT person) AS score FROM k x JOIN k y USING (person) WHERE x.topic < y.topic GROUP BY ALL), o AS (SELECT a AS own, b AS other, * FROM s UNION ALL SELECT b, a, * FROM s), t AS (SELECT a, b, score FROM o QUALIFY row_number() OVER (PARTITION BY own ORDER BY score DESC, other DESC) <= 6) SELECT DISTINCT a, b, score AS n, 0.4::DOUBLE AS score FROM t")
+@query("WITH w AS (SELECT DISTINCT l_orderkey AS person, l_suppkey AS topic FROM lineitem), k AS (SELECT * FROM w QUALIFY count(*) OVER (PARTITION BY person) BETWEEN 2 AND 15), s AS (SELECT x.topic AS a, y.topic AS b, count(DISTINCT person) AS score FROM k x JOIN k y USING (person) WHERE x.topic < y.topic GROUP BY ALL), o AS (SELECT a AS own, b AS other, * FROM s UNION ALL SELECT b, a, * FROM s), t AS (SELECT a, b, score FROM o QUALIFY row_number() OVER (PARTITION BY own ORDER BY score DESC, other DESC) <= 6) SELECT DISTINCT a, b, score AS n, 0.4::DOUBLE AS score FROM t")
 def shared_worker(spark, d):
-    w = T.read(spark, d, "orders").join(T.read(spark, d, "lineitem").where("l_quantity > 47"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("person"), F.col("l_suppkey").alias("topic"))
+    w = T.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("person"), F.col("l_suppkey").alias("topic"))
     return I.shared_workers(w, 15, 6)
 
 
@@ -330,14 +359,17 @@ def chain_summary(spark, d):
     return G.chain_summary(G.chain(_edges(spark, d), [(r, "SUPP:"), (r, "PART:")], start), 10)
 
 
-@query()
+SQL_RANK = SQL_INC + ", pw AS (SELECT node, other, greatest(max(confidence), 0.05::DOUBLE) AS w FROM inc GROUP BY ALL), st AS (SELECT node, other, w / sum(w) OVER (PARTITION BY node) AS p FROM pw), nn AS (SELECT count(DISTINCT node) AS n FROM pw), r0 AS MATERIALIZED (SELECT DISTINCT node, 1.0::DOUBLE / (SELECT n FROM nn) AS r FROM pw)" + "".join(f", r{i} AS MATERIALIZED (SELECT other AS node, 0.15::DOUBLE / (SELECT n FROM nn) + 0.85::DOUBLE * sum(r * p) AS r FROM st JOIN r{i - 1} USING (node) GROUP BY 1)" for i in range(1, 21))
+
+
+@query(SQL_RANK + " SELECT node, round(r / (SELECT max(r) FROM r20), 6) AS rank FROM r20")
 def pagerank(spark, d):
-    return G.pagerank(_edges(spark, d).where("confidence >= 0.5"), 10)
+    return G.pagerank(_edges(spark, d), 20)
 
 
-@query()
+@query(SQL_INC + ", l0 AS (SELECT DISTINCT node, node AS label FROM inc)" + "".join(f", l{i} AS MATERIALIZED (SELECT inc.node, label, round(sum(confidence), 6) AS w FROM inc JOIN l{i - 1} l ON l.node = inc.other GROUP BY inc.node, label QUALIFY row_number() OVER (PARTITION BY inc.node ORDER BY round(sum(confidence), 6) DESC, label) = 1)" for i in range(1, 4)) + " SELECT node, label FROM l3")
 def label_propagation(spark, d):
-    return G.label_propagation(_edges(spark, d).where("confidence >= 0.8"), 3)
+    return G.label_propagation(_edges(spark, d), 3)
 
 
 @query("SELECT 'SUPP:' || s_suppkey AS id, round(sqrt(('0x' || substr(sha1('SUPP:' || s_suppkey), 5, 4))::INT / 65536.0::DOUBLE) * cos(('0x' || substr(sha1('SUPP:' || s_suppkey), 1, 4))::INT / 65536.0::DOUBLE * 2 * pi()), 6) AS x, round(sqrt(('0x' || substr(sha1('SUPP:' || s_suppkey), 5, 4))::INT / 65536.0::DOUBLE) * sin(('0x' || substr(sha1('SUPP:' || s_suppkey), 1, 4))::INT / 65536.0::DOUBLE * 2 * pi()), 6) AS y FROM supplier")
@@ -361,12 +393,12 @@ def _index(spark, d):
 
 
 def _queries(spark, d):
-    """A bounded, stated query set: part names, a supplier's id and a longer question around each name."""
-    p = T.read(spark, d, "part").where("p_partkey <= 20")
+    """Every part whose id is divisible by 20 asks: its name, a supplier's id and a longer question around each name."""
+    p = T.read(spark, d, "part").where("p_partkey % 20 = 0")
     return p.select(F.explode(F.array("p_name", F.concat(F.lit("supp:"), "p_partkey"), F.concat(F.lit("what of "), "p_name", F.lit(" today")))).alias("query")).distinct()
 
 
-SQL_SEARCH = "ix AS (SELECT 'PART:' || p_partkey AS id, p_name AS text, 2.5::DOUBLE AS s FROM part UNION ALL SELECT 'SUPP:' || s_suppkey, s_name, 2.5::DOUBLE FROM supplier UNION ALL SELECT 'PART:' || p_partkey, p_brand || ' ' || p_type, 2.2::DOUBLE FROM part), q AS (SELECT DISTINCT unnest([p_name, 'supp:' || p_partkey, 'what of ' || p_name || ' today']) AS query FROM part WHERE p_partkey <= 20), fx AS (SELECT id, s, " + SQL_FOLD.format("text") + " AS f FROM ix), fq AS (SELECT query, " + SQL_FOLD.format("query") + " AS f FROM q), ex AS (SELECT query, id, max(sc) AS score FROM (SELECT query, id, 3.0::DOUBLE AS sc FROM q JOIN ix ON lower(query) = lower(id) UNION ALL SELECT query, id, s FROM fq JOIN fx USING (f)) GROUP BY ALL)"
+SQL_SEARCH = "ix AS (SELECT 'PART:' || p_partkey AS id, p_name AS text, 2.5::DOUBLE AS s FROM part UNION ALL SELECT 'SUPP:' || s_suppkey, s_name, 2.5::DOUBLE FROM supplier UNION ALL SELECT 'PART:' || p_partkey, p_brand || ' ' || p_type, 2.2::DOUBLE FROM part), q AS (SELECT DISTINCT unnest([p_name, 'supp:' || p_partkey, 'what of ' || p_name || ' today']) AS query FROM part WHERE p_partkey % 20 = 0), fx AS (SELECT id, s, " + SQL_FOLD.format("text") + " AS f FROM ix), fq AS (SELECT query, " + SQL_FOLD.format("query") + " AS f FROM q), ex AS (SELECT query, id, max(sc) AS score FROM (SELECT query, id, 3.0::DOUBLE AS sc FROM q JOIN ix ON lower(query) = lower(id) UNION ALL SELECT query, id, s FROM fq JOIN fx USING (f)) GROUP BY ALL)"
 SQL_PHRASE = SQL_SEARCH + ", w AS (SELECT query, string_split(f, ' ') AS w FROM fq), g AS (SELECT query, len(w) AS n, k, array_to_string(w[i:i + k - 1], ' ') AS f FROM w, range(1, 7) a(k), range(1, 60) b(i) WHERE k <= len(w) - 1 AND i + k - 1 <= len(w)), ph AS (SELECT query, id, round(max(1.2::DOUBLE + 0.5::DOUBLE * k / n), 6) AS score FROM g JOIN fx USING (f) WHERE length(f) >= 4 GROUP BY ALL)"
 
 
@@ -459,8 +491,8 @@ def rate_limit_windows(spark, d):
 @query("SELECT user_id, event_type, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAYS GROUP BY ALL")
 def retention(spark, d):
     e = T.read(spark, d, "events")
-    now = e.agg(F.max("ts").cast("string")).first()[0]
-    return E.retained(e, now, 10).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    last = e.agg(F.max("ts").alias("now"))  # one row
+    return e.join(F.broadcast(last)).where(F.col("ts") >= F.col("now") - F.expr("INTERVAL 10 DAYS")).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT user_id, (props->>'k')::INT AS k, min(event_id) AS event_id FROM events GROUP BY ALL")

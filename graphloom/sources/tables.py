@@ -44,10 +44,9 @@ def is_a(part: DataFrame) -> DataFrame:
     return up.unionByName(tops)
 
 
-def profiles(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:
-    """(profile, term, frequency): customers and the brands and types they bought, with shares of lines."""
-    bought = lineitem.join(orders, lineitem["l_orderkey"] == orders["o_orderkey"]).join(part, lineitem["l_partkey"] == part["p_partkey"])
-    lines = bought.select(F.col("o_custkey").alias("profile"), F.explode(F.array(F.concat(F.lit("BRAND:"), "p_brand"), F.concat(F.lit("TYPE:"), "p_type"))).alias("term"))
-    counted = lines.groupBy("profile", "term").agg(F.count(F.lit(1)).alias("n"))
-    totals = counted.where(F.col("term").startswith("TYPE:")).groupBy("profile").agg(F.sum("n").alias("total"))
+def profiles(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    """(profile, term, frequency): customers and the parts they bought, with shares of their lines."""
+    bought = lineitem.join(orders, lineitem["l_orderkey"] == orders["o_orderkey"])
+    counted = bought.groupBy(F.col("o_custkey").alias("profile"), F.concat(F.lit("PART:"), "l_partkey").alias("term")).agg(F.count(F.lit(1)).alias("n"))
+    totals = counted.groupBy("profile").agg(F.sum("n").alias("total"))
     return counted.join(totals, "profile").select("profile", "term", (F.col("n") / F.col("total")).alias("frequency"))
