@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import canonical, clamp, confidence_level, edge_id, evidence_weight, family
+from ..functions.columns import canonical, clamp, confidence_level, edge_id, evidence_weight, family, tier_weight
 from ..model import CONTRADICTION, INFERRED_CAP, ORIGINS, TIER_WEIGHT
 
 
@@ -117,3 +117,53 @@ def distinctive(df: DataFrame, group: str, term: str, member: str, n: int) -> Da
     total = size.agg(F.count(F.lit(1)).alias("groups"))
     scored = cnt.join(size, group).join(df_, term).join(F.broadcast(total)).withColumn("score", F.round(F.col("cnt") / F.col("size") * F.log(1 + F.col("groups") / F.col("df")), 9))
     return top(scored, [group], [F.desc("score"), F.asc(term)], n).select(group, term, "score", "rank")
+
+
+def wide_hash(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Order-free digest of rows: both halves of their md5 digests as whole 64-bit numbers, summed per key."""
+    digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]))
+    half = lambda at: F.sum(F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(20,0)")).cast("string")
+    return df.groupBy(key).agg(half(1).alias("high"), half(17).alias("low"), F.count(F.lit(1)).alias("n"))
+
+
+def breakdown(assertions: DataFrame) -> DataFrame:
+    """How each edge's confidence comes about: support by tier weights, penalty, result, and whether it was clamped."""
+    supports, weight = F.col("polarity") == "supports", tier_weight(F.col("tier"))
+    g = assertions.groupBy(edge_id(F.col("source_id"), F.col("relation"), F.col("target_id")).alias("edge_id")).agg(
+        F.round(1 - F.coalesce(F.product(F.when(supports, 1 - weight)), F.lit(1.0)), 6).alias("support_score"), F.count_if(~supports).alias("n_contradicting")
+    )
+    penalty = F.round(CONTRADICTION * F.col("n_contradicting"), 6)
+    plain = F.col("support_score") - penalty
+    return g.select("edge_id", "support_score", "n_contradicting", penalty.alias("penalty"), F.round(clamp(plain), 6).alias("result"), (~plain.between(0, 1)).alias("clamped"))
+
+
+def _term_counts(df: DataFrame, group: str, term: str, member: str) -> DataFrame:
+    cnt = df.groupBy(group, term).agg(F.countDistinct(member).alias("cnt"))
+    size = df.groupBy(group).agg(F.countDistinct(member).alias("size"))
+    spread = cnt.groupBy(term).agg(F.count(F.lit(1)).alias("df"))
+    return cnt.join(size, group).join(spread, term).join(F.broadcast(size.agg(F.count(F.lit(1)).alias("groups"))))
+
+
+def distinctive_backed(df: DataFrame, group: str, term: str, member: str, n: int) -> DataFrame:
+    """Like `distinctive`, but terms that two members share, or the only member has, come first."""
+    s = _term_counts(df, group, term, member).select(group, term, ((F.col("cnt") >= 2) | (F.col("size") == 1)).alias("backed"), F.round(F.col("cnt") / F.col("size") * F.log(1 + F.col("groups") / F.col("df")), 9).alias("score"))
+    return top(s, [group], [F.desc("backed"), F.desc("score"), F.asc(term)], n)
+
+
+def distinctive_squared(df: DataFrame, group: str, term: str, member: str, n: int) -> DataFrame:
+    """Terms by squared count times ln(1 + groups / groups with the term)."""
+    s = _term_counts(df, group, term, member).select(group, term, F.round(F.col("cnt") * F.col("cnt") * F.log(1 + F.col("groups") / F.col("df")), 9).alias("score"))
+    return top(s, [group], [F.desc("score"), F.asc(term)], n)
+
+
+def pivoted(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
+    """Counts of each value of a column, side by side."""
+    return df.groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).na.fill(0, values)
+
+
+def cap_statistics(pairs: DataFrame, k: int) -> DataFrame:
+    """One row: pairs that qualify, that the k best of either side keep, that fall out, and the median k-th score."""
+    both = pairs.select(F.col("a").alias("own"), F.col("b").alias("other"), "a", "b", "score").unionByName(pairs.select(F.col("b").alias("own"), F.col("a").alias("other"), "a", "b", "score"))
+    kept = top(both, ["own"], [F.desc("score"), F.desc("other")], k)
+    counts = kept.agg(F.countDistinct("a", "b").alias("kept"), F.percentile(F.when(F.col("rank") == k, F.col("score")), 0.5).alias("median_last"))
+    return pairs.agg(F.count(F.lit(1)).alias("qualifying")).join(F.broadcast(counts)).select("qualifying", "kept", (F.col("qualifying") - F.col("kept")).alias("dropped"), "median_last")

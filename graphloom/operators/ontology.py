@@ -123,7 +123,7 @@ def similar(profiles: DataFrame, ic: DataFrame, closure: DataFrame, pairs: DataF
     able = staged(sims.join(shared.where(F.col("shared") >= least_shared), ["a", "b"]).select("a", "b", "score", "shared"), "similar")
     kept = symmetric_top(able, k)
     s = F.col("score")
-    return kept.join(able.select("a", "b", "shared"), ["a", "b"]).select("a", "b", s.alias("similarity"), "shared", F.round(F.least(0.30 + 0.55 * s, F.lit(0.75)), 6).alias("score"), F.round(0.9 * s, 6).alias("cluster_score"))
+    return kept.join(able.select("a", "b", "shared"), ["a", "b"]).select("a", "b", s.alias("similarity"), "shared", F.round(F.least(0.30 + 0.55 * s, F.lit(0.75)), 8).alias("score"), F.round(0.9 * s, 8).alias("cluster_score"))
 
 
 def calibration(profiles: DataFrame, ic: DataFrame, closure: DataFrame, n_pairs: int, design: float, least_terms: int = 3) -> DataFrame:
@@ -173,3 +173,10 @@ def rank_profiles(queries: DataFrame, profiles: DataFrame, excluded: DataFrame,
     share = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.coalesce("against", F.lit(0.0)), F.col("total")), F.lit(0.0)))
     scored = joined.withColumn("score", F.round(F.col("sim") * (1 - share), 6))
     return top(scored, ["query"], [F.desc("score"), F.asc("profile")], n).select("query", "profile", "score", "n_shared", "n_same", "n_broader", "rank")
+
+
+def ranked_terms(annotations: DataFrame, ic: DataFrame, n: int) -> DataFrame:
+    """The n weightiest terms of each profile: information times frequency, which counts a tenth at least."""
+    w = F.round(F.col("ic") * F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.coalesce("frequency", F.lit(0.5)))), 6)
+    s = annotations.join(ic.select("term", "ic"), "term").select("profile", "term", w.alias("weight"))
+    return top(s, ["profile"], [F.desc("weight"), F.asc("term")], n)

@@ -40,10 +40,10 @@ def fuzzy(index: DataFrame, queries: DataFrame, least: float = 0.3, k: int = 30)
 def dice(index: DataFrame, queries: DataFrame, least: float = 0.6) -> DataFrame:
     """Word overlap 2 * common / (words of both) of at least `least`; a final s does not count."""
     words = lambda c: F.array_distinct(F.transform(F.filter(F.split(fold(F.col(c)), " "), lambda w: w != ""), lambda w: F.regexp_replace(w, "(?<=...)s$", "")))
-    i = index.select("id", words("text").alias("w")).select("id", F.size("w").alias("n"), F.explode("w").alias("word"))
+    i = index.select("id", fold(F.col("text")).alias("text")).distinct().select("id", "text", words("text").alias("w")).select("id", "text", F.size("w").alias("n"), F.explode("w").alias("word"))
     q = queries.select("query", words("query").alias("w")).select("query", F.size("w").alias("m"), F.explode("w").alias("word"))
-    both = q.join(i, "word").groupBy("query", "m", "id", "n").agg(F.count(F.lit(1)).alias("both"))
-    return both.withColumn("score", F.round(2 * F.col("both") / (F.col("m") + F.col("n")), 6)).where(F.col("score") >= least).select("query", "id", "score")
+    both = q.join(i, "word").groupBy("query", "m", "id", "text", "n").agg(F.count(F.lit(1)).alias("both"))
+    return both.withColumn("score", F.round(2 * F.col("both") / (F.col("m") + F.col("n")), 6)).where(F.col("score") >= least).groupBy("query", "id").agg(F.max("score").alias("score"))
 
 
 def vector_top(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
