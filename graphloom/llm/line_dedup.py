@@ -185,9 +185,9 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CH
     classes = placed.groupBy(*ids).agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).join(late, ids, "left")
     classes = staged(classes.where("n > 1 or near").select(*ids, "least", F.coalesce("near", F.lit(False)).alias("near")), "line-classes")
     again = staged(placed.join(_small(classes), ids), "line-repeats")
-    heads = again.where("key = least and not near").groupBy(*ids).agg(F.min(F.struct("line_no", "tid")).alias("head"))
+    heads = staged(again.where("key = least and not near").groupBy(*ids).agg(F.min(F.struct("line_no", "tid")).alias("head")), "line-heads")
     held = F.col("head").isNotNull() & (F.struct("line_no", "tid") == F.col("head")) & (F.col("key") == F.col("least"))
-    gone = again.join(heads, ids, "left").where(F.col("near") | ~held)
+    gone = again.join(_small(heads), ids, "left").where(F.col("near") | ~held)
     marks = gone.groupBy("key", "tid").agg(F.collect_set(F.struct("line_no", "near")).alias("marks"))
     return marks.select(
         "key",
