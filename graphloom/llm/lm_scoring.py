@@ -36,7 +36,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import deal
 from .common import NULL_KEY, doc_id_of, parts, release, shared_dir, text_bytes
 
 END, IDS = 50256, 50257
@@ -120,12 +119,15 @@ def _pack(path: str, pattern: str):
     def run(rows: pa.Table) -> pa.Table:
         docs = sorted(zip(rows["key"].to_pylist(), rows["text"].to_pylist(), rows["held"].to_pylist(), strict=True))
         split = [t.encode().lower().split() for _, t, _ in docs]
-        number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+        # Words are numbered in the order of their hashes, which every answer to the unit follows.
+        met = list(dict.fromkeys(chain.from_iterable(split)))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, met), np.uint64, len(met))
+        order = np.argsort(hashes, kind="stable")
+        hashes, number = hashes[order], {met[i]: n for n, i in enumerate(order.tolist())}
         size = np.fromiter(map(len, split), np.int64, len(split))
         words = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(size.sum()))
         held = np.array([h for _, _, h in docs], bool)
         learnt = np.bincount(words[np.repeat(~held, size)], minlength=len(number))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
         ids, each = word_ids(path, pattern)(list(number))
         # The end comes after each document's words, as one more word.
         ids, each = np.append(ids, np.uint16(END)), np.append(each, 1)
@@ -139,7 +141,7 @@ def _pack(path: str, pattern: str):
         text_ids = ids[np.repeat((each.cumsum() - each)[flat] - (upto - n), n) + np.arange(int(upto[-1]))]
         lengths = np.diff(np.r_[0, upto[ends]])
         small = np.uint16 if len(number) < 1 << 16 else np.uint32
-        out = (np.array([k for k, _, _ in docs], np.int64), held, size, lengths, words.astype(small), hashes, learnt.astype(np.int64), text_ids.astype(np.uint16))
+        out = (np.array([k for k, _, _ in docs], np.int64), held, size, lengths, words.astype(small), hashes, learnt.astype(np.uint32), text_ids.astype(np.uint16))
         names = PACKED.replace(" long", "").replace(" binary", "").split(", ")
         return pa.table([rows["unit"].slice(0, 1), *(pa.array([x.tobytes()], pa.binary()) for x in out)], names)
 
@@ -388,13 +390,16 @@ def _added(rows: pa.Table) -> pa.Table:
 
 
 def _send(shards: int):
+    """A unit's hashes and training counts, cut into ranges of the hash space: 12 bytes a word."""
+
     def send(batches):
         for rows in batches:
             out = []
             for unit, hashes, counts in zip(rows["unit"].to_pylist(), rows["hashes"], rows["counts"], strict=True):
-                h, n = _array(hashes, np.uint64), _array(counts, np.int64).view(np.uint64)
-                order = np.argsort(h)
-                out += [(shard, unit, data) for shard, data in deal(h[order], shards, h[order], n[order])]
+                h, n = _array(hashes, np.uint64), _array(counts, np.uint32)
+                shard = (h >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)
+                edge = np.flatnonzero(np.diff(shard.astype(np.int64), prepend=-1, append=-1)).tolist()
+                out += [(int(shard[x]), unit, h[x:y].tobytes() + n[x:y].tobytes()) for x, y in zip(edge[:-1], edge[1:], strict=True)]
             shard, unit, data = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(unit, pa.int64()), pa.array(data, pa.binary())], ["shard", "unit", "data"])
 
@@ -402,16 +407,24 @@ def _send(shards: int):
 
 
 def _tally(rows: pa.Table) -> pa.Table:
-    """To each unit the corpus counts of the hashes it sent, and for unit -1 the words and their total."""
-    sent = [np.frombuffer(d, np.uint64).reshape(2, -1) for d in rows["data"].to_pylist()]
-    h, where = np.unique(np.concatenate([x[0] for x in sent]), return_inverse=True)
-    total = np.bincount(where, weights=np.concatenate([x[1] for x in sent]).astype(np.float64), minlength=len(h)).astype(np.int64)
+    """To each unit the corpus counts of the hashes it sent, in their order, and for unit -1 the words and their total."""
+    sent = [np.frombuffer(d, np.uint64, len(d) // 12) for d in rows["data"].to_pylist()]
+    counts = [np.frombuffer(d, np.uint32, len(d) // 12, len(d) // 12 * 8) for d in rows["data"].to_pylist()]
+    h, where = np.unique(np.concatenate(sent), return_inverse=True)
+    total = np.bincount(where, weights=np.concatenate(counts).astype(np.float64), minlength=len(h)).astype(np.int64)
     found, at = [], 0
     for x in sent:
-        found.append(x[0].tobytes() + total[where[at : at + x.shape[1]]].tobytes())
-        at += x.shape[1]
+        c = total[where[at : at + len(x)]]
+        small = c.max() < 1 << 32
+        found.append((b"\4" if small else b"\10") + c.astype(np.uint32 if small else np.uint64).tobytes())
+        at += len(x)
     found.append(np.array([(total > 0).sum(), total.sum()], np.int64).tobytes())
-    return pa.table({"unit": pa.array([*rows["unit"].to_pylist(), -1], pa.int64()), "told": pa.array(found, pa.binary())})
+    shard = rows["shard"].to_pylist()
+    return pa.table({"unit": pa.array([*rows["unit"].to_pylist(), -1], pa.int64()), "shard": pa.array([*shard, shard[0]], pa.int32()), "told": pa.array(found, pa.binary())})
+
+
+def _counts(cell: bytes) -> np.ndarray:
+    return np.frombuffer(cell, np.uint32 if cell[0] == 4 else np.uint64, offset=1).astype(np.int64)
 
 
 def _model_scores(model, cin, cout, table):
@@ -431,23 +444,17 @@ def _model_scores(model, cin, cout, table):
 
 
 def _finish(n_train: int, v: int, n_ends: int):
-    """Documents of a unit with both scores; what it was told is counts, 16 bytes a word, and one row of model scores."""
+    """Documents of a unit with both scores; what it was told is counts by ranges of the hash space, and one row of model scores."""
     scale = math.log10(n_train + 0.5 * (v + 1))
 
     def run(unit: pa.Table, told: pa.Table) -> pa.Table:
         if not len(unit):
             return pa.table({n: pa.array([], t) for n, t in zip(SCORES.replace(",", "").split()[::2], (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
         cell = lambda name, kind: _array(unit[name][0], kind)
-        size, hashes = cell("sizes", np.int64), cell("hashes", np.uint64)
-        words = cell("words", np.uint16 if len(hashes) < 1 << 16 else np.uint32)
-        by_model = told["counts"].to_pylist()
-        answers = [np.frombuffer(d, np.uint64).reshape(2, -1) for d, counts in zip(told["told"].to_pylist(), by_model, strict=True) if counts]
-        score = np.frombuffer(told["told"][by_model.index(False)].as_py(), np.float64)
-        c = np.zeros(len(hashes), np.int64)
-        if answers:
-            h, n = np.concatenate(answers, axis=1)
-            order = np.argsort(h)
-            c = n[order].astype(np.int64)[np.searchsorted(h[order], hashes)]
+        by_shard = sorted(zip(told["shard"].to_pylist(), told["told"].to_pylist(), strict=True))
+        score = np.frombuffer(by_shard[0][1], np.float64)  # the model's row stands under shard -1
+        c = np.concatenate([np.zeros(0, np.int64), *(_counts(x) for _, x in by_shard[1:])])
+        size, words = cell("sizes", np.int64), cell("words", np.uint16 if len(c) < 1 << 16 else np.uint32)
         doc = np.repeat(np.arange(len(size)), size)
         known = np.bincount(doc, weights=(c > 0)[words], minlength=len(size)).astype(np.int64) + (n_ends > 0)
         base = np.bincount(doc, weights=np.log10(c + 0.5)[words], minlength=len(size)) + math.log10(n_ends + 0.5) - (size + 1) * scale
@@ -460,13 +467,13 @@ def score(docs: DataFrame, tokenizer_path: str, pattern: str, rounds: int = 3, u
     """One row per document: base and model scores of its whole text."""
     units = packed(docs, tokenizer_path, pattern, unit_bytes)
     sent = units.select("unit", "hashes", "counts").mapInArrow(_send(parts(text_bytes(docs), shard_bytes)), "shard int, unit long, data binary")
-    told = _staged(sent.groupBy("shard").applyInArrow(_tally, "unit long, told binary"), "lm-words")
+    told = _staged(sent.groupBy("shard").applyInArrow(_tally, "unit long, shard int, told binary"), "lm-words")
     sums = told.where("unit = -1").mapInArrow(_totals, "v long, n long").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
     ends = keyed(docs).where("not held").count()
     n_train, v = (sums["n"] or 0) + ends, (sums["v"] or 0) + (ends > 0)
     by_model = _staged(units.select("unit", "ids", "lengths").mapInArrow(_model_scores(*fit(units, rounds)), "unit long, told binary"), "lm-scores")
-    both = told.where("unit >= 0").withColumn("counts", F.lit(True)).unionByName(by_model.withColumn("counts", F.lit(False)))
-    words = units.select("unit", "keys", "held", "sizes", "words", "hashes")
+    both = told.where("unit >= 0").unionByName(by_model.withColumn("shard", F.lit(-1)))
+    words = units.select("unit", "keys", "held", "sizes", "words")
     done = words.groupBy("unit").cogroup(both.groupBy("unit")).applyInArrow(_finish(n_train, v, ends), SCORES)
     return done.select(doc_id_of(F.col("key")).alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
 
