@@ -13,8 +13,9 @@ which different lines meet are found by aggregation, and only their lines are lo
 Work on a key is in proportion to its lines, however many they are.  Each line is first verified
 against the earliest line of each of its keys: a group of near copies is settled there.  Lines not
 settled look for any earlier line of their keys in a semi-join, which gives at most one row a line.
-Verification is the banded bit-parallel distance, whose 2 * edits + 1 bits hold the diagonals that
-matter; ends that two lines share are cut off before it.
+Pairs whose letter counts differ by more than edits can make are passed over; verification is the
+banded bit-parallel distance, whose 2 * edits + 1 bits hold the diagonals that matter; ends that two
+lines share are cut off before it.
 
 Nulls: a null text has no lines and stays null; a null doc_id sorts last and stays null.  Rows that
 repeat id and text are one document: neither is earlier than the other.  Very long texts and lines
@@ -32,6 +33,7 @@ from .common import NULL_KEY, doc_id_of, keyed_texts, staged
 EDITS, NEAR_CHARS = 2, 20
 #: Pieces of a line of which all but `edits` must stand in a near one.
 PIECES = 8
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Keys or lines whose hashes may be broadcast (24 bytes each); beyond, they are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -136,6 +138,16 @@ def is_near(a: Column, b: Column, edits: int) -> Column:
     return (F.abs(F.char_length(a) - F.char_length(b)) <= edits) & plausible & _once(sizes, core)
 
 
+def letter_counts(line: Column) -> Column:
+    """How often each letter, of either case, stands in the line."""
+    return F.struct(*((F.char_length(line) - F.char_length(F.translate(line, x + x.upper(), ""))).alias(x) for x in LETTERS))
+
+
+def like_letters(a: Column, b: Column, edits: int) -> Column:
+    """Not false for lines within `edits` edits: an edit takes one letter away, adds one, or both."""
+    return sum((F.abs(a[x] - b[x]) for x in LETTERS), F.lit(0)) <= 2 * edits
+
+
 def line_id() -> tuple[Column, Column]:
     """128 bits that name a line."""
     return F.xxhash64("line").alias("id"), F.xxhash64(F.lit("line"), "line").alias("id2")
@@ -159,17 +171,18 @@ def late_lines(lines: DataFrame, edits: int) -> DataFrame:
     met = meetings(lines, edits)
     named = staged(met.select("lid").distinct(), "line-names")
     found = lines.withColumn("lid", F.xxhash64("line")).join(_small(named), "lid", "left_semi")
-    texts = staged(found.groupBy("lid", "line").agg(F.min(F.struct("key", "line_no", "tid")).alias("first")), "line-texts")
+    texts = staged(found.groupBy("lid", "line").agg(F.min(F.struct("key", "line_no", "tid")).alias("first")).withColumn("letters", letter_counts(F.col("line"))), "line-texts")
     members = staged(met.join(texts, "lid"), "line-members")
-    heads = members.groupBy("at", "probe").agg(F.min(F.struct("first", "line")).alias("head"), F.count(F.lit(1)).alias("n"))
-    heads = heads.select("at", (~F.col("probe")).alias("probe"), F.col("head.first").alias("head_first"), F.col("head.line").alias("head_line"), "n")
+    heads = members.groupBy("at", "probe").agg(F.min(F.struct("first", "line", "letters")).alias("head"), F.count(F.lit(1)).alias("n"))
+    heads = heads.select("at", (~F.col("probe")).alias("probe"), F.col("head.first").alias("head_first"), F.col("head.line").alias("head_line"), F.col("head.letters").alias("head_letters"), "n")
     facing = staged(members.join(heads, ["at", "probe"]).where(F.col("head_first") < F.col("first")), "line-facing")
-    pairs = facing.select("line", "head_line").distinct()
+    pairs = facing.where(like_letters(F.col("head_letters"), F.col("letters"), edits)).select("line", "head_line").distinct()
     settled = staged(pairs.where(is_near(F.col("head_line"), F.col("line"), edits)).select(*line_id()).distinct(), "line-settled")
-    rest = facing.where("n > 1").select("*", *line_id()).join(settled, ["id", "id2"], "left_anti").select("at", "probe", "first", "line")
-    early = members.select(F.col("at").alias("at_a"), (~F.col("probe")).alias("probe_a"), F.col("first").alias("first_a"), F.col("line").alias("line_a"))
+    rest = facing.where("n > 1").select("*", *line_id()).join(settled, ["id", "id2"], "left_anti").select("at", "probe", "first", "line", "letters")
+    early = members.select(F.col("at").alias("at_a"), (~F.col("probe")).alias("probe_a"), F.col("first").alias("first_a"), F.col("line").alias("line_a"), F.col("letters").alias("letters_a"))
     same = (F.col("at") == F.col("at_a")) & (F.col("probe") == F.col("probe_a"))
-    later = rest.join(early, same & (F.col("first_a") < F.col("first")) & is_near(F.col("line_a"), F.col("line"), edits), "left_semi")
+    plausible = (F.col("first_a") < F.col("first")) & like_letters(F.col("letters_a"), F.col("letters"), edits)
+    later = rest.join(early, same & plausible & is_near(F.col("line_a"), F.col("line"), edits), "left_semi")
     return settled.union(later.select(*line_id())).distinct()
 
 
