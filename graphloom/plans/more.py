@@ -121,11 +121,11 @@ def cluster_centroids(spark, d):
     return T.read(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean"))
 
 
-SQL_MEMBERS = "b AS (SELECT DISTINCT s_nationkey AS g, s_suppkey AS m, p_type AS t FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE p_size <= 3), c AS (SELECT g, t, count(*) AS cnt FROM b GROUP BY ALL), z AS (SELECT g, count(DISTINCT m) AS size FROM b GROUP BY 1), f AS (SELECT t, count(*) AS df FROM c GROUP BY 1), j AS (SELECT * FROM c JOIN z USING (g) JOIN f USING (t))"
+SQL_MEMBERS = "b AS (SELECT DISTINCT s_nationkey AS g, s_suppkey AS m, p_type AS t FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey), c AS (SELECT g, t, count(*) AS cnt FROM b GROUP BY ALL), z AS (SELECT g, count(DISTINCT m) AS size FROM b GROUP BY 1), f AS (SELECT t, count(*) AS df FROM c GROUP BY 1), j AS (SELECT * FROM c JOIN z USING (g) JOIN f USING (t))"
 
 
 def _members(spark, d):
-    return T.read(spark, d, "lineitem").join(T.read(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(T.read(spark, d, "part").where("p_size <= 3"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("s_nationkey").alias("g"), F.col("p_type").alias("t"), F.col("l_suppkey").alias("m")).distinct()
+    return T.read(spark, d, "lineitem").join(T.read(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(T.read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("s_nationkey").alias("g"), F.col("p_type").alias("t"), F.col("l_suppkey").alias("m")).distinct()
 
 
 @query("WITH " + SQL_MEMBERS + ", s AS (SELECT g, t, cnt >= 2 OR size = 1 AS backed, round(cnt / size * ln(1 + (SELECT count(*) FROM z) / df), 9) AS score FROM j) SELECT *, row_number() OVER (PARTITION BY g ORDER BY backed DESC, score DESC, t)::INT AS rank FROM s QUALIFY rank <= 3")
