@@ -1,10 +1,10 @@
-"""The registered queries of the ten operators, and the SQL that some of them have."""
+"""The registered queries of the operators, and the SQL that some of them have."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_packing, decontamination, html_extraction, line_dedup, lm_scoring, quality_rules, secret_scan, simhash_neardup, substring_dedup, suffix_dedup
+from . import best_fit_packing, decontamination, html_extraction, line_dedup, lm_scoring, oracles, quality_rules, resampling, secret_scan, simhash_neardup, substring_dedup, suffix_dedup, url_filter, vector_codes
 from .common import read
 
 
@@ -56,6 +56,19 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(read(spark, sf_dir, "embeddings"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.document_outcomes(pages, read(spark, sf_dir, "labels")))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -69,9 +82,12 @@ QUERIES = {
         op8_secret_scans,
         op9_suffix_array_dedup,
         op10_lm_scoring,
+        op11_vector_code_compression,
+        op12_url_filters,
+        op13_importance_resampling,
     )
 }
-ORACLE_SQL: dict[str, str] = {
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL | {
     "op1_substring_dedup": r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
