@@ -516,4 +516,4 @@ def set_ops(spark, d):
     return side(a.intersect(b), "both").unionByName(side(a.subtract(b), "left")).unionByName(side(b.subtract(a), "right"))
 
 
-from . import more  # noqa: E402, F401  registers the queries of that module too
+from . import clusters, more  # noqa: E402, F401  register the queries of those modules too
