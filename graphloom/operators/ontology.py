@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import clamp
 from ..shared import staged
 from .merge import symmetric_top, top
+from .topk import bounded_top
 
 
 def ancestors(is_a: DataFrame, most_depth: int = 100) -> DataFrame:
@@ -72,8 +73,8 @@ def one_sided(left: DataFrame, right: DataFrame, ic: DataFrame, closure: DataFra
     pairs bounds the work: only the profile pairs it names are compared.
     """
     with_ups = lambda d, name: d.join(closure, "term", "left").select("profile", "term", "w", "ic", F.explode(F.array_compact(F.array("term", "ancestor"))).alias(name)).distinct()
-    ours = with_ups(left, "up")
-    theirs = with_ups(right, "up").select(F.col("profile").alias("b"), "up").distinct()
+    ours = staged(with_ups(left, "up"), "with-ups")
+    theirs = (ours if right is left else with_ups(right, "up")).select(F.col("profile").alias("b"), "up").distinct()
     worth = ic.select(F.col("term").alias("up"), F.col("ic").alias("up_ic"))
     met = pairs.join(ours.withColumnRenamed("profile", "a"), "a").join(theirs, ["b", "up"]).join(worth, "up")
     mica = met.groupBy("a", "b", "term").agg(F.max("up_ic").alias("mica"), F.first("w").alias("w"), F.first("ic").alias("ic"))
@@ -84,10 +85,11 @@ def one_sided(left: DataFrame, right: DataFrame, ic: DataFrame, closure: DataFra
 
 def similarity(profiles: DataFrame, ic: DataFrame, closure: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, similarity): the mean of both one-sided similarities."""
-    w = weighted(profiles, ic)
-    ab = one_sided(w, w, ic, closure, pairs)
-    ba = one_sided(w, w, ic, closure, pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("s").alias("t"))
-    return ab.join(ba, ["a", "b"]).select("a", "b", clamp((F.col("s") + F.col("t")) / 2).alias("similarity"))
+    w = staged(weighted(profiles, ic), "weighted")
+    ways = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    both = one_sided(w, w, ic, closure, ways).groupBy(low.alias("low"), high.alias("high")).agg(F.sum("s").alias("s"))
+    return pairs.select("a", "b", low.alias("low"), high.alias("high")).join(both, ["low", "high"]).select("a", "b", clamp(F.col("s") / 2).alias("similarity"))
 
 
 def expanded(annotations: DataFrame, closure: DataFrame) -> DataFrame:
@@ -99,16 +101,12 @@ def expanded(annotations: DataFrame, closure: DataFrame) -> DataFrame:
 def cosine_top(profiles: DataFrame, ic: DataFrame, closure: DataFrame, k: int, least_ic: float) -> DataFrame:
     """(a, b, cosine): the k nearest of each profile by cosine of the IC weights of all terms it holds, kept by either side.
 
-    Only profiles that share an informative term meet: at `least_ic` a term is held by a share of
-    exp(-least_ic) of them at most.
+    Common terms are looked up only where they can change a profile's k best (see topk).
     """
     v = expanded(profiles, closure).join(ic.where(F.col("ic") >= least_ic), "term").select("profile", "term", "ic")
     norm = v.groupBy("profile").agg(F.sqrt(F.sum(F.col("ic") * F.col("ic"))).alias("norm"))
-    u = staged(v.join(norm, "profile").select("profile", "term", (F.col("ic") / F.col("norm")).alias("x")), "vectors")
-    met = u.select(F.col("profile").alias("a"), "term", F.col("x").alias("xa")).join(u.select(F.col("profile").alias("b"), "term", F.col("x").alias("xb")), "term").where("a < b")
-    sims = met.groupBy("a", "b").agg(F.round(F.sum(F.col("xa") * F.col("xb")), 6).alias("score"))
-    both = sims.select(F.explode(F.array(F.struct(F.col("a").alias("own"), F.col("b").alias("other")), F.struct(F.col("b").alias("own"), F.col("a").alias("other")))).alias("s"), "a", "b", "score").select("s.*", "a", "b", "score")
-    return top(both, ["own"], [F.desc("score"), F.asc("other")], k).select("a", "b", F.col("score").alias("cosine")).distinct()
+    u = staged(v.join(norm, "profile").select("profile", "term", F.floor(F.col("ic") * 4).cast("int").alias("level"), (F.col("ic") / F.col("norm")).alias("x")), "vectors")
+    return bounded_top(u, k).withColumnRenamed("score", "cosine")
 
 
 def specific_terms(annotations: DataFrame, ic: DataFrame, least: float = 2.0) -> DataFrame:

@@ -184,20 +184,20 @@ def lineage(spark, d):
     return O.lineage(O.primary_parent(isa, O.ancestors(isa)), "ROOT")
 
 
-SQL_COSINE = SQL_PROFILES + ", v AS (SELECT profile, term, ic FROM pu JOIN ic USING (term) WHERE ic >= 0.5), u AS (SELECT profile, term, ic / sqrt(sum(ic * ic) OVER (PARTITION BY profile)) AS x FROM v), cs AS (SELECT p.profile AS a, q.profile AS b, round(sum(p.x * q.x), 6) AS score FROM u p JOIN u q ON p.term = q.term AND p.profile < q.profile GROUP BY ALL), co AS (SELECT a AS own, b AS other, * FROM cs UNION ALL SELECT b, a, * FROM cs), ck AS (SELECT a, b, score FROM co QUALIFY row_number() OVER (PARTITION BY own ORDER BY score DESC, other) <= 5), cand AS (SELECT DISTINCT a, b, score AS cosine FROM ck)"
+SQL_COSINE = SQL_PROFILES + ", v AS (SELECT profile, term, ic FROM pu JOIN ic USING (term) WHERE ic >= 0.5), u AS (SELECT profile, term, ic / sqrt(sum(ic * ic) OVER (PARTITION BY profile)) AS x FROM v), cs AS (SELECT p.profile AS a, q.profile AS b, round(sum(p.x * q.x), 6) AS score FROM u p JOIN u q ON p.term = q.term AND p.profile < q.profile GROUP BY ALL), co AS (SELECT a AS own, b AS other, * FROM cs UNION ALL SELECT b, a, * FROM cs), ck AS (SELECT a, b, score FROM co QUALIFY row_number() OVER (PARTITION BY own ORDER BY score DESC, other) <= 25), cand AS (SELECT DISTINCT a, b, score AS cosine FROM ck)"
 SQL_BMA = ", w AS (SELECT profile, term, greatest(0, least(1, frequency)) AS w, ic FROM pr JOIN ic USING (term) WHERE ic > 0 AND frequency > 0), both_ AS (SELECT a, b FROM cand UNION SELECT b, a FROM cand), mi AS (SELECT a, b, x.term, any_value(w) AS w, any_value(x.ic) AS ic, max(i2.ic) AS mica FROM both_ JOIN w x ON x.profile = a JOIN tc ON tc.term = x.term JOIN pu y ON y.profile = b AND y.term = tc.up JOIN ic i2 ON i2.term = tc.up GROUP BY a, b, x.term), num AS (SELECT a, b, sum(w * least(ic, mica)) AS num FROM mi GROUP BY ALL), den AS (SELECT profile AS a, sum(w * ic) AS den FROM w GROUP BY 1), si AS (SELECT a, b, CASE WHEN den > 0 THEN coalesce(num, 0) / den ELSE 0 END AS s FROM both_ LEFT JOIN num USING (a, b) LEFT JOIN den USING (a)), bma AS (SELECT c.a, c.b, round(greatest(0, least(1, (x.s + y.s) / 2)), 6) AS similarity FROM (SELECT DISTINCT a, b FROM cand) c JOIN si x ON x.a = c.a AND x.b = c.b JOIN si y ON y.a = c.b AND y.b = c.a)"
 
 
 @query("WITH RECURSIVE " + SQL_COSINE + " SELECT a, b, cosine FROM cand")
 def cosine_topk(spark, d):
     p, closure, ic = _profiles(spark, d)
-    return O.cosine_top(p, ic, closure, 5, 0.5)
+    return O.cosine_top(staged(p, "profiles"), ic, closure, 25, 0.5)
 
 
 def _candidates(spark, d):
     p, closure, ic = _profiles(spark, d)
-    ic = staged(ic, "ic")
-    return p, closure, ic, staged(O.cosine_top(p, ic, closure, 5, 0.5).select("a", "b"), "candidates")
+    p, ic = staged(p, "profiles"), staged(ic, "ic")
+    return p, closure, ic, staged(O.cosine_top(p, ic, closure, 25, 0.5).select("a", "b"), "candidates")
 
 
 @query("WITH RECURSIVE " + SQL_COSINE + SQL_BMA + " SELECT * FROM bma")
