@@ -347,11 +347,6 @@ def subgraph_d2(spark, d):
     return G.subgraph(_edges(spark, d), spark.createDataFrame([("PART:5",)], "node string"), 2).select("id", "source_id", "target_id", "confidence")
 
 
-@query(SQL_INC + ", st AS (SELECT node AS a, other AS b, confidence AS c FROM inc WHERE confidence >= 0.6), p AS (SELECT x.a AS source, z.b AS target, [x.a, x.b, y.b, z.b] AS ns, round(-ln(x.c) - ln(y.c) - ln(z.c), 9) AS cost, least(x.c, y.c, z.c) AS mc, 3 AS hops FROM st x JOIN st y ON y.a = x.b JOIN st z ON z.a = y.b WHERE x.a = 'PART:5' AND z.b IN ('SUPP:1', 'SUPP:2', 'SUPP:3') AND x.b NOT IN ('SUPP:1', 'SUPP:2', 'SUPP:3') AND y.b <> x.a AND z.b <> x.b UNION ALL SELECT a, b, [a, b], round(-ln(c), 9), c, 1 FROM st WHERE a = 'PART:5' AND b IN ('SUPP:1', 'SUPP:2', 'SUPP:3')) SELECT source, target, row_number() OVER (PARTITION BY source, target ORDER BY cost, array_to_string(ns, '>'))::INT AS rank, cost, mc AS min_confidence, hops, array_to_string(ns, '>') AS nodes, 'p_' || substr(sha1(array_to_string(ns, '>')), 1, 16) AS path_id FROM p QUALIFY rank <= 3")
-def k_paths(spark, d):
-    return G.shortest_paths(_edges(spark, d), spark.createDataFrame([("PART:5",)], "node string"), F.col("at").isin("SUPP:1", "SUPP:2", "SUPP:3"), 3, 3)
-
-
 @query(SQL_INC + ", w AS (SELECT x.node AS source, y.other AS e, least(x.confidence, y.confidence) AS least_ FROM inc x JOIN inc y ON y.node = x.other WHERE x.node IN ('PART:5', 'PART:6') AND y.other LIKE 'PART:%' AND y.other <> x.node), s AS (SELECT source, e, count(*) AS n_walks, max(least_) AS best FROM w GROUP BY ALL) SELECT source, e AS \"end\", n_walks, best, row_number() OVER (PARTITION BY source ORDER BY n_walks DESC, best DESC, e)::INT AS rank FROM s QUALIFY rank <= 10")
 def chain_summary(spark, d):
     start = spark.createDataFrame([("PART:5",), ("PART:6",)], "node string")
@@ -516,4 +511,4 @@ def set_ops(spark, d):
     return side(a.intersect(b), "both").unionByName(side(a.subtract(b), "left")).unionByName(side(b.subtract(a), "right"))
 
 
-from . import clusters, more  # noqa: E402, F401  register the queries of those modules too
+from . import clusters, more, routes  # noqa: E402, F401  register the queries of those modules too
