@@ -511,4 +511,4 @@ def set_ops(spark, d):
     return side(a.intersect(b), "both").unionByName(side(a.subtract(b), "left")).unionByName(side(b.subtract(a), "right"))
 
 
-from . import clusters, more, privacy, routes  # noqa: E402, F401  register the queries of those modules too
+from . import clusters, more, privacy, routes, trees  # noqa: E402, F401  register the queries of those modules too

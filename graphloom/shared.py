@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +28,20 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def placed(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+    """df with `place`, the number of each row (from 0) among the rows of its key in the given total order.
+
+    Rows are dealt by ranges of key and order, so a large key lies in several tasks; a row's number is its number
+    within its range plus the rows of the key in the ranges before, of which there is one sum a range and key.
+    """
+    low = F.lit((1 << 33) - 1)
+    rows = staged(df.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    rows = rows.withColumn("_range", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(low))
+    first = rows.groupBy("_range", *key).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    names = {k: f"_key{i}" for i, k in enumerate(key)}
+    offsets = first.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).select(F.col("_range").alias("_in"), *(F.col(k).alias(n) for k, n in names.items()), "_first", "_before")
+    j = rows.join(offsets, [F.col("_range") == F.col("_in"), *(F.col(k).eqNullSafe(F.col(n)) for k, n in names.items())])
+    return j.select(*df.columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias("place"))
