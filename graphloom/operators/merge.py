@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import canonical, clamp, confidence_level, edge_id, evidence_weight, family, tier_weight
 from ..model import CONTRADICTION, INFERRED_CAP, ORIGINS, TIER_WEIGHT
+from ..shared import placed
 
 
 def noisy_or(weight: Column, supports: Column) -> Column:
@@ -97,6 +98,21 @@ def top(df: DataFrame, key: list[str], order: list[Column], n: int) -> DataFrame
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("rank") <= n)
 
 
+def exact_quantiles(df: DataFrame, key: str, value: str, tie: str, at: dict[str, float]) -> DataFrame:
+    """(key, one column a quantile) by linear interpolation at 4 places; nulls are left out.
+
+    Values are numbered within sorted ranges, so a key may have any number of rows; of those only the two beside
+    each quantile are gathered.
+    """
+    rows = placed(df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v"), F.col(tie).alias("t")), [key], [F.col("v"), F.col("t")])
+    n = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    j = rows.join(n, key)
+    spot = {name: (F.col("n") - 1) * p for name, p in at.items()}
+    beside = {name: (F.col("place") == F.floor(s)) | (F.col("place") == F.ceil(s)) for name, s in spot.items()}
+    share = {name: F.when(F.floor(s) == F.ceil(s), 1.0).when(F.col("place") == F.floor(s), F.ceil(s) - s).otherwise(s - F.floor(s)) for name, s in spot.items()}
+    return j.groupBy(key).agg(*(F.round(F.sum(F.when(beside[name], F.col("v") * share[name])), 4).alias(name) for name in at))
+
+
 def symmetric_top(pairs: DataFrame, k: int) -> DataFrame:
     """(a, b, score) pairs that are among the k best of either side; ties to the larger partner."""
     both = pairs.select(F.col("a").alias("own"), F.col("b").alias("other"), "a", "b", "score").unionByName(pairs.select(F.col("b").alias("own"), F.col("a").alias("other"), "a", "b", "score"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import fold, jaccard, trigrams
+from ..shared import staged
 from .merge import top
 
 
@@ -46,18 +49,60 @@ def dice(index: DataFrame, queries: DataFrame, least: float = 0.6) -> DataFrame:
     return both.withColumn("score", F.round(2 * F.col("both") / (F.col("m") + F.col("n")), 6)).where(F.col("score") >= least).groupBy("query", "id").agg(F.max("score").alias("score"))
 
 
-def vector_top(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact cosine top k of a bounded, stated query set against all vectors: (query, id, score, rank).
+def _packed(rows: int):
+    """Batches of (id, v) to blocks of unit vectors: (ids, matrix, width); vectors without length go."""
 
-    index (id, v), queries (query, q).  Queries are held as one array of structs per block, so each vector
-    is scored where it is read and only each partition's candidates move.
+    def run(batches):
+        for batch in batches:
+            wide: dict[int, list] = {}
+            for i, v in zip(batch["id"].to_pylist(), batch["v"].to_pylist(), strict=True):
+                if v and None not in v:
+                    wide.setdefault(len(v), []).append((i, v))
+            for width, found in wide.items():
+                m = np.array([v for _, v in found], np.float64)
+                size = np.sqrt((m * m).sum(1))
+                ids, m = np.array([i for i, _ in found], object)[size > 0], m[size > 0] / size[size > 0, None]
+                for at in range(0, len(ids), rows):
+                    yield pa.RecordBatch.from_arrays([pa.array([list(ids[at : at + rows])]), pa.array([m[at : at + rows].tobytes()], pa.binary()), pa.array([width])], ["ids", "m", "width"])
+
+    return run
+
+
+def _best(k: int):
+    """Pairs of a block of the index and one of queries to each query's k best in it."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                i, q = (np.frombuffer(r[x]).reshape(-1, r["width"]) for x in ("m", "qm"))
+                ids, score = np.array(r["ids"]), np.round(q @ i.T, 6)
+                order = np.lexsort((np.broadcast_to(ids, score.shape), -score))[:, :k]
+                which = np.repeat(np.arange(len(q)), order.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(r["qids"])[which]), pa.array(ids[order.ravel()]), pa.array(score[which, order.ravel()])], ["query", "id", "score"])
+
+    return run
+
+
+def vector_top(index: DataFrame, queries: DataFrame, k: int, rows: int = 2048, small_bytes: int = 32 << 20) -> DataFrame:
+    """Exact cosine top k of a stated query set against all vectors: (query, id, score, rank); long ids.
+
+    index (id, v), queries (query, q).  Both sides are packed into blocks of at most `rows` vectors; each block of
+    the index meets each block of queries (broadcast while all have at most `small_bytes`), and only the k best
+    of a query in a block leave the task.  Null
+    vectors, and those with nulls or without length, have no neighbours; vectors of unlike lengths do not meet.
     """
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))))
-    q = queries.select("query", unit(F.col("q")).alias("q"))
-    i = index.select("id", unit(F.col("v")).alias("v"))
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = i.join(F.broadcast(q.agg(F.collect_list(F.struct("query", "q")).alias("qs")))).select("id", "v", F.explode("qs").alias("x")).select(F.col("x.query").alias("query"), "id", F.col("x.q").alias("q"), "v").withColumn("score", F.round(dot, 6)).select("query", "id", "score")
-    return top(scored, ["query"], [F.desc("score"), F.asc("id")], k)
+    packed = lambda df, i, v: staged(df.select(F.col(i).cast("long").alias("id"), F.col(v).alias("v")).mapInArrow(_packed(rows), "ids array<long>, m binary, width long"), "blocks")
+    i = packed(index, "id", "v")
+    q = packed(queries, "query", "q").select(F.col("ids").alias("qids"), F.col("m").alias("qm"), F.col("width").alias("qwidth"))
+    size = q.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("qm")), F.lit(0)).alias("bytes")).first()
+    if size["bytes"] <= small_bytes:  # index blocks stay where they are
+        met = i.join(F.broadcast(q), F.col("width") == F.col("qwidth"))
+    else:  # each pair of blocks is a unit of work of its own
+        spread = i.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(size["n"] - 1)))).repartition("salt", F.xxhash64("ids"))
+        numbered = q.withColumn("salt", F.row_number().over(Window.orderBy(F.element_at("qids", 1), F.size("qids"))) - 1)  # one row a block
+        met = spread.join(numbered, "salt").where("width = qwidth")
+    met = met.select("ids", "m", "width", "qids", "qm")
+    return top(met.mapInArrow(_best(k), "query long, id long, score double"), ["query"], [F.desc("score"), F.asc("id")], k)
 
 
 def fused(parts: list[DataFrame], boosts: DataFrame) -> DataFrame:
