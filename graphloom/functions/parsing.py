@@ -54,14 +54,23 @@ def exact_xref(iri: Column) -> Column:
     return F.coalesce(*[F.concat(F.lit(p), taken(iri, r)) for p, r in prefixes.items()])
 
 
+#: Chromosomes in the order of their reference sequences NC_000001 to NC_000024.
+CHROMOSOMES = [*map(str, range(1, 23)), "X", "Y"]
+MITOCHONDRION = "NC_012920"
+
+
 def refseq_chromosome(accession: Column) -> Column:
-    n = taken(accession, r"^NC_0+(\d+)\.\d+$").cast("int")
-    return F.when(n == 12920, "MT").when(n.between(1, 22), n.cast("string")).when(n == 23, "X").when(n == 24, "Y")
+    """The chromosome of a versioned reference sequence; null for other sequences."""
+    names = {f"NC_{i:06d}": c for i, c in enumerate(CHROMOSOMES, 1)} | {MITOCHONDRION: "MT"}
+    versioned = F.regexp_count(accession, F.lit(r"\.\d+$")) == 1
+    return F.when(versioned, looked_up(F.substring_index(accession, ".", 1), names))
 
 
 def cytoband_chromosome(location: Column) -> Column:
-    found = F.upper(taken(location, r"(?i)^\s*(\d{1,2}|X|Y)(?=[pq\s]|cen|$)"))
-    return F.when(F.lower(F.trim(location)).startswith("mito"), "MT").otherwise(found)
+    """The chromosome of a band: what stands before its arm (p, q) or centromere in the first word."""
+    word = F.lower(F.regexp_extract(location, r"(\S+)", 1))
+    head = F.upper(F.regexp_extract(word, "^(.*?)(?:cen|p|q|$)", 1))
+    return F.when(F.startswith(word, F.lit("mito")), "MT").when(head.isin(CHROMOSOMES), head)
 
 
 def coded_frequency(text: Column) -> Column:
@@ -81,17 +90,38 @@ def review_stars(status: Column) -> Column:
     return F.coalesce(looked_up(F.lower(F.trim(status)), STARS), F.lit(0))
 
 
+def protein_change(description: Column) -> tuple[Column, Column, Column]:
+    """(residue, position, change) of a protein description such as Arg97ProfsTer23 or Lys2_Met3del."""
+    form = r"^([A-Z][a-z]{2}|\*)(\d+)(?:_[A-Z][a-z]{2}\d+)?(.*)$"
+    part = lambda i: F.regexp_extract(description, form, i)
+    return part(1), part(2), part(3)
+
+
 def consequence(name: Column, kind: Column) -> Column:
-    """Coarse molecular consequence from the protein change in a variant's name, else from its splice site or kind."""
-    p = taken(name, r"\(p\.([^)]+)\)")
-    stop = F.contains(p, F.lit("fs")), p.rlike(r"(Ter|\*)$") | F.substring(F.substring_index(p, "ext", 1), -4, 4).contains("Ter")
-    missense = p.rlike(r"^[A-Z][a-z]{2}\d+[A-Z][a-z]{2}$")
-    protein = (
-        F.when(stop[0], "frameshift").when(stop[1], "nonsense").when(p.endswith("="), "synonymous").when(missense, "missense").when(p.rlike("del|ins|dup"), "inframe_indel").when(p.startswith("Met1"), "start_lost").otherwise("other")
+    """Coarse molecular consequence of a variant by its name (HGVS) and kind of variant.
+
+    The protein description decides where the name has one.  Else a change at the first or second base of an
+    intron (offset +1, +2, -1 or -2 from a coding position) is a splice change, and the kind tells the rest.
+    """
+    p = F.nullif(F.regexp_extract(name, r"\(p\.([^)]+)\)", 1), F.lit(""))
+    residue, position, change = protein_change(p)
+    stops = {"Ter": True, "*": True}
+    of_change = {"=": "synonymous"}
+    start = (residue == "Met") & (position == "1")
+    lengthened = F.contains(change, F.lit("ext"))
+    protein = F.coalesce(
+        looked_up(change, of_change),
+        F.when(F.contains(change, F.lit("fs")), "frameshift"),
+        F.when(~lengthened & (F.coalesce(looked_up(change, stops), F.lit(False)) | F.endswith(change, F.lit("Ter"))), "nonsense"),
+        F.when(change.rlike("^[A-Z][a-z]{2}$"), "missense"),
+        F.when(F.regexp_count(change, F.lit("del|ins|dup")) > 0, "inframe_indel"),
+        F.when(start, "start_lost"),
+        F.lit("other"),
     )
-    k = F.lower(kind)
-    other = F.when(name.rlike(r"c\.[-*]?\d+[+-][12][ACGT]?>|c\.\d+[+-][12](del|dup)"), "splice").when(k.isin("copy number loss", "copy number gain"), "copy_number").when(k.isin("deletion", "duplication"), "indel").otherwise("other")
-    return F.when(p.isNotNull(), protein).otherwise(other)
+    offset = F.regexp_extract(name, r"c\.[-*]?\d+([+-]\d+)(?:[ACGT]>|>|del|dup)", 1)
+    kinds = {"copy number loss": "copy_number", "copy number gain": "copy_number", "deletion": "indel", "duplication": "indel"}
+    genomic = F.when(offset.isin("+1", "+2", "-1", "-2"), "splice").otherwise(F.coalesce(looked_up(F.lower(kind), kinds), F.lit("other")))
+    return F.when(p.isNotNull(), protein).otherwise(genomic)
 
 
 def accession(variation_id: Column) -> Column:
