@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import fold, jaccard, trigrams
 from ..shared import staged
 from .merge import top
+from .trigram import fuzzy  # noqa: F401  part of this module's searches
 
 
 def exact(index: DataFrame, queries: DataFrame) -> DataFrame:
@@ -29,17 +30,6 @@ def phrases(index: DataFrame, queries: DataFrame, most: int = 6, least_chars: in
     return grams.join(index.select("id", fold(F.col("text")).alias("folded")).distinct(), "folded").groupBy("query", "id").agg(F.round(F.max(1.2 + 0.5 * F.col("k") / F.col("n")), 6).alias("score"))
 
 
-def fuzzy(index: DataFrame, queries: DataFrame, least: float = 0.3, k: int = 30) -> DataFrame:
-    """The k texts nearest each query by trigram Jaccard, met through an inverted trigram index."""
-    i = index.select("id", "text").distinct().select("id", "text", trigrams(F.col("text")).alias("t"))
-    q = queries.select("query", trigrams(F.col("query")).alias("q"))
-    n = i.select("id", "text", F.size("t").alias("nt"), F.explode("t").alias("gram"))
-    m = q.select("query", F.size("q").alias("nq"), F.explode("q").alias("gram"))
-    both = m.join(n, "gram").groupBy("query", "nq", "id", "text", "nt").agg(F.count(F.lit(1)).alias("both"))
-    s = both.withColumn("score", F.round(F.col("both") / (F.col("nq") + F.col("nt") - F.col("both")), 6)).groupBy("query", "id").agg(F.max("score").alias("score")).where(F.col("score") >= least)
-    return top(s, ["query"], [F.desc("score"), F.asc("id")], k)
-
-
 def dice(index: DataFrame, queries: DataFrame, least: float = 0.6) -> DataFrame:
     """Word overlap 2 * common / (words of both) of at least `least`; a final s does not count."""
     words = lambda c: F.array_distinct(F.transform(F.filter(F.split(fold(F.col(c)), " "), lambda w: w != ""), lambda w: F.regexp_replace(w, "(?<=...)s$", "")))
