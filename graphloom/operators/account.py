@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import placed
 from .merge import top
 
 
@@ -27,14 +28,22 @@ def listed_calls(calls: DataFrame, cards: DataFrame, now: str) -> DataFrame:
 
 
 def thread_list(threads: DataFrame, messages: DataFrame, reads: DataFrame) -> DataFrame:
-    """Per thread and user: unread messages of others, the last message, and whether an own one exists."""
-    m = messages.groupBy("thread", "user").agg(F.count(F.lit(1)).alias("n"), F.max("sent_at").alias("last"))
-    last = messages.groupBy("thread").agg(F.max("sent_at").alias("last"))
-    members = threads.join(reads, ["thread", "user"], "left")
-    seen = members.join(messages.withColumnRenamed("user", "sender"), "thread").where((F.col("sender") != F.col("user")) & (F.col("read_at").isNull() | (F.col("sent_at") > F.col("read_at"))))
-    unread = seen.groupBy("thread", "user").agg(F.count(F.lit(1)).alias("unread"))
-    own = m.select("thread", "user", F.lit(True).alias("wrote"))
-    return threads.join(unread, ["thread", "user"], "left").join(last, "thread", "left").join(own, ["thread", "user"], "left").select("thread", "user", F.coalesce("unread", F.lit(0)).alias("unread"), "last", F.coalesce("wrote", F.lit(False)).alias("wrote"))
+    """Per thread and user: unread messages of others, the last message, and whether an own one exists.
+
+    Messages up to a reading are the place of the reading among both less its place among readings, so a busy thread is
+    sorted once and members never meet its messages one by one; own messages after the reading are taken off.
+    """
+    read = reads.where("read_at IS NOT NULL").groupBy("thread", "user").agg(F.max("read_at").alias("read_at"))
+    told = messages.select("thread", F.col("sent_at").alias("at"), F.lit(0).alias("kind"), "user").unionByName(read.select("thread", F.col("read_at").alias("at"), F.lit(1).alias("kind"), "user"))
+    order = [F.col("at"), F.col("kind"), F.col("user")]
+    both = placed(told, ["thread"], order).where("kind = 1").select("thread", "user", "place")
+    alone = placed(told.where("kind = 1"), ["thread"], order).select("thread", "user", F.col("place").alias("readings"))
+    upto = both.join(alone, ["thread", "user"]).select("thread", "user", (F.col("place") - F.col("readings")).alias("upto"))
+    whole = messages.groupBy("thread").agg(F.count(F.lit(1)).alias("n"), F.max("sent_at").alias("last"))
+    own = messages.join(read, ["thread", "user"], "left").groupBy("thread", "user").agg(F.count_if(F.col("read_at").isNull() | (F.col("sent_at") > F.col("read_at"))).alias("own"))
+    j = threads.join(upto, ["thread", "user"], "left").join(whole, "thread", "left").join(own, ["thread", "user"], "left")
+    unread = F.coalesce("n", F.lit(0)) - F.coalesce("upto", F.lit(0)) - F.coalesce("own", F.lit(0))
+    return j.select("thread", "user", unread.alias("unread"), "last", F.col("own").isNotNull().alias("wrote"))
 
 
 def overlaid(edges: DataFrame, flags: DataFrame, contributions: DataFrame) -> DataFrame:

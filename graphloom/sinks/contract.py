@@ -8,6 +8,7 @@ Publishing is refused unless a validation of that very content passed (see `vali
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,11 +48,10 @@ def digest(tables: dict[str, DataFrame]) -> str:
     """One name for the content of all tables, whatever the order of rows and files."""
     parts = []
     for name, df in sorted(tables.items()):
-        one = wide_hash(df.withColumn("_all", F.lit(1)), "_all", sorted(df.columns)).drop("_all")
+        rows = df.select(F.lit(1).alias("all"), F.to_json(F.struct(*sorted(df.columns))).alias("row"))  # names every value
+        one = wide_hash(rows, "all", ["row"]).drop("all")
         row = one.first()
         parts.append(f"{name}:{','.join(sorted(df.columns))}:{'/'.join(map(str, row)) if row else ''}")
-    import hashlib
-
     return hashlib.sha256("\n".join(parts).encode()).hexdigest()
 
 
