@@ -339,21 +339,33 @@ def neighbor_cap(spark, d):
     return G.neighbours(_edges(spark, d), 20)
 
 
-@query(SQL_INC + ", h1 AS (SELECT DISTINCT other AS node FROM inc WHERE node = 'PART:5'), h2 AS (SELECT DISTINCT other AS node FROM inc JOIN h1 USING (node) WHERE other <> 'PART:5' AND other NOT IN (SELECT node FROM h1)) SELECT 'PART:5' AS node, 0 AS hop UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2")
+#: Every part whose id is divisible by 20 asks.
+SQL_START = SQL_INC + ", st0 AS (SELECT 'PART:' || p_partkey AS node FROM part WHERE p_partkey % 20 = 0), h1 AS (SELECT DISTINCT other AS node FROM inc WHERE node IN (SELECT node FROM st0) AND other NOT IN (SELECT node FROM st0)), h2 AS (SELECT DISTINCT other AS node FROM inc WHERE node IN (SELECT node FROM h1) AND other NOT IN (SELECT node FROM st0) AND other NOT IN (SELECT node FROM h1))"
+
+
+def _start(spark, d):
+    return T.read(spark, d, "part").where("p_partkey % 20 = 0").select(F.concat(F.lit("PART:"), "p_partkey").alias("node"))
+
+
+@query(SQL_START + " SELECT node, 0 AS hop FROM st0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2")
 def reach(spark, d):
-    return G.reached(_edges(spark, d), spark.createDataFrame([("PART:5",)], "node string"), 2)
+    return G.reached(_edges(spark, d), _start(spark, d), 2)
+
+
+@query(SQL_START + ", n AS (SELECT node FROM st0 UNION SELECT node FROM h1) SELECT id, source_id, target_id, confidence FROM edges WHERE source_id IN (SELECT node FROM n) AND target_id IN (SELECT node FROM n)")
+def subgraph_d1(spark, d):
+    return G.subgraph(_edges(spark, d), _start(spark, d), 1).select("id", "source_id", "target_id", "confidence")
 
 
-@query(SQL_INC + ", n AS (SELECT 'PART:5' AS node UNION SELECT other FROM inc WHERE node = 'PART:5' UNION SELECT y.other FROM inc x JOIN inc y ON y.node = x.other WHERE x.node = 'PART:5') SELECT id, source_id, target_id, confidence FROM edges WHERE source_id IN (SELECT node FROM n) AND target_id IN (SELECT node FROM n)")
+@query(SQL_START + ", n AS (SELECT node FROM st0 UNION SELECT node FROM h1 UNION SELECT node FROM h2) SELECT id, source_id, target_id, confidence FROM edges WHERE source_id IN (SELECT node FROM n) AND target_id IN (SELECT node FROM n)")
 def subgraph_d2(spark, d):
-    return G.subgraph(_edges(spark, d), spark.createDataFrame([("PART:5",)], "node string"), 2).select("id", "source_id", "target_id", "confidence")
+    return G.subgraph(_edges(spark, d), _start(spark, d), 2).select("id", "source_id", "target_id", "confidence")
 
 
-@query(SQL_INC + ", w AS (SELECT x.node AS source, y.other AS e, least(x.confidence, y.confidence) AS least_ FROM inc x JOIN inc y ON y.node = x.other WHERE x.node IN ('PART:5', 'PART:6') AND y.other LIKE 'PART:%' AND y.other <> x.node), s AS (SELECT source, e, count(*) AS n_walks, max(least_) AS best FROM w GROUP BY ALL) SELECT source, e AS \"end\", n_walks, best, row_number() OVER (PARTITION BY source ORDER BY n_walks DESC, best DESC, e)::INT AS rank FROM s QUALIFY rank <= 10")
+@query(SQL_START + ", w AS (SELECT x.node AS source, y.other AS e, least(x.confidence, y.confidence) AS least_ FROM inc x JOIN inc y ON y.node = x.other WHERE x.node IN (SELECT node FROM st0) AND y.other LIKE 'PART:%' AND y.other <> x.node), s AS (SELECT source, e, count(*) AS n_walks, max(least_) AS best FROM w GROUP BY ALL) SELECT source, e AS \"end\", n_walks, best, row_number() OVER (PARTITION BY source ORDER BY n_walks DESC, best DESC, e)::INT AS rank FROM s QUALIFY rank <= 10")
 def chain_summary(spark, d):
-    start = spark.createDataFrame([("PART:5",), ("PART:6",)], "node string")
     r = "caused_by_variant_in"
-    return G.chain_summary(G.chain(_edges(spark, d), [(r, "SUPP:"), (r, "PART:")], start), 10)
+    return G.chain_summary(G.chain(_edges(spark, d), [(r, "SUPP:"), (r, "PART:")], _start(spark, d)), 10)
 
 
 SQL_RANK = SQL_INC + ", pw AS (SELECT node, other, greatest(max(confidence), 0.05::DOUBLE) AS w FROM inc GROUP BY ALL), st AS (SELECT node, other, w / sum(w) OVER (PARTITION BY node) AS p FROM pw), nn AS (SELECT count(DISTINCT node) AS n FROM pw), r0 AS MATERIALIZED (SELECT DISTINCT node, 1.0::DOUBLE / (SELECT n FROM nn) AS r FROM pw)" + "".join(f", r{i} AS MATERIALIZED (SELECT other AS node, 0.15::DOUBLE / (SELECT n FROM nn) + 0.85::DOUBLE * sum(r * p) AS r FROM st JOIN r{i - 1} USING (node) GROUP BY 1)" for i in range(1, 21))
