@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import fold, jaccard, trigrams
+from ..functions.columns import fold
 from ..shared import staged
 from .merge import top
 from .trigram import fuzzy  # noqa: F401  part of this module's searches
@@ -102,8 +102,3 @@ def fused(parts: list[DataFrame], boosts: DataFrame) -> DataFrame:
     every = reduce(DataFrame.unionByName, [p.select("query", "id", "score").withColumn("part", F.lit(i)) for i, p in enumerate(parts)])
     best = every.groupBy("query", "id").agg(F.max("score").alias("base"), F.countDistinct("part").alias("kinds"))
     return best.join(boosts, "id", "left").select("query", "id", F.round(F.col("base") + F.coalesce("boost", F.lit(0.0)) + F.when(F.col("kinds") > 1, 0.1).otherwise(0.0), 6).alias("score"))
-
-
-def label_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Trigram Jaccard of given pairs of texts."""
-    return a.join(b, "id").select("id", F.round(jaccard(trigrams(F.col("x")), trigrams(F.col("y"))), 6).alias("score"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
+from ..functions import parsing as P
 from ..operators import entities as N
 from ..operators import trigram as G
 from ..sources import tables as T
@@ -36,3 +38,13 @@ def entity_mentions(spark, d):
     named = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("id"), w.alias("w"))
     names = named.select("id", F.explode(F.array(F.struct(F.lit(2).alias("k")), F.struct(F.lit(4).alias("k")))).alias("k"), "w").where(F.size("w") >= F.col("k.k")).select("id", F.array_join(F.slice("w", F.lit(1), F.col("k.k")), " ").alias("name"))
     return N.mentions(docs.select(F.col("doc_id").alias("key"), "text"), names)
+
+
+SQL_PLAIN = "translate(nfc_normalize(text), '{}', '{}')".format(C.QUOTES, C.STRAIGHT.replace("'", "''"))
+
+
+@query("SELECT doc_id, md5(trim(regexp_replace(strip_accents(lower(text)), '[^0-9a-z+]+', ' ', 'g'))) AS name_md5, md5(trim(regexp_replace(regexp_replace(" + SQL_PLAIN + r", '[\x{200b}\x{200c}\x{200d}\x{feff}]', '', 'g'), '[ \t\n\r]+', ' ', 'g'))) AS text_md5 FROM documents WHERE text IS NOT NULL")
+def normalized_texts(spark, d):
+    """Whole texts as names (no marks, no other signs) and as plain text (composed, straight quotes, single spaces)."""
+    docs = T.read(spark, d, "documents").where("text IS NOT NULL")
+    return docs.select("doc_id", F.md5(P.normal_name(F.col("text"))).alias("name_md5"), F.md5(P.composed_text(F.col("text"))).alias("text_md5"))
