@@ -278,6 +278,18 @@ def test_pipeline_drops_pairs_of_similarity_point_eight(spark):
         assert sorted(root(x) for _, x in got) == sorted(keys) and all(k == min(keys[root(x)]) for k, x in got)
 
 
+def test_large_groups_lie_in_bounded_blocks(spark):
+    # A chain of pairs, each by its own shingle, and one shingle that a third of all documents have.
+    shared = [(g, d) for g in range(60) for d in (g, g + 1)] + [(-1, d) for d in range(0, 60, 3)] + [(99, 200), (99, 201)]
+    groups = [(d, 0) for d in range(61)] + [(200, 200), (201, 200)]
+    got = similar_sets.blocks(spark.createDataFrame(shared, "g long, did long"), spark.createDataFrame(groups, "node long, root long"), 7).collect()
+    assert sorted(r["did"] for r in got) == [*range(61), 200, 201]
+    size = Counter((r["root"], r["block"]) for r in got)
+    assert max(size.values()) == 7 and len(size) == 10 and size[200, 0] == 2
+    # Documents that share the first shingle stand together.
+    assert {r["block"] for r in got if r["did"] % 3 == 0 and r["did"] < 60} == {0, 1, 2}
+
+
 def test_attention_learns_every_training_id():
     rng = np.random.default_rng(4)
     each = [rng.integers(0, 50000, n).astype(np.uint16) for n in (1, 31, 32, 33, 64, 700, 5)]
