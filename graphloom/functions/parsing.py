@@ -188,3 +188,24 @@ def joined(names: Column) -> Column:
     """'a', 'a and b', 'a, b and c'."""
     n = F.size(names)
     return F.when(n < 2, F.array_join(names, "")).otherwise(F.concat_ws(" and ", F.array_join(F.slice(names, 1, F.greatest(n - 1, F.lit(1))), ", "), F.try_element_at(names, F.lit(-1))))
+
+
+#: Digits of the numbers of padded id kinds (fixed values).
+PADDED = {"MONDO": 7, "HP": 7}
+
+
+def is_id_query(query: Column) -> Column:
+    """Whether a query is a prefixed id, as MONDO:0007606, hp_1263 or PMID: 2317429."""
+    return F.coalesce(F.upper(F.trim(query)).rlike(r"^[A-Z][A-Z0-9.-]*[:_]\s*[A-Z0-9][A-Z0-9._-]*$"), F.lit(False))
+
+
+def id_candidates(query: Column, padded: dict[str, int] = PADDED) -> Column:
+    """The ids that an id query may mean: as written, with a colon, and with its number without or with the right leading zeros."""
+    raw = F.upper(F.trim(query))
+    form = r"^([A-Z]+)[:_ ]+0*(\d+)$"
+    prefix, number = F.regexp_extract(raw, form, 1), F.regexp_extract(raw, form, 2)
+    filled = number
+    for p, n in padded.items():
+        filled = F.when((prefix == p) & (F.length(number) < n), F.lpad(number, n, "0")).otherwise(filled)
+    colon = F.regexp_replace(raw, "^([^_]*)_", "$1:")
+    return F.array_distinct(F.array_compact(F.array(raw, colon, F.when(prefix != "", F.concat(prefix, F.lit(":"), filled)))))

@@ -525,4 +525,4 @@ def set_ops(spark, d):
     return side(a.intersect(b), "both").unionByName(side(a.subtract(b), "left")).unionByName(side(b.subtract(a), "right"))
 
 
-from . import clusters, eligibility, files, gates, growth, lexical, more, privacy, routes, snapshots, trees  # noqa: E402, F401  register the queries of those modules too
+from . import clusters, eligibility, files, gates, growth, lexical, more, people, privacy, routes, snapshots, trees  # noqa: E402, F401  register the queries of those modules too
