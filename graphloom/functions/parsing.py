@@ -148,7 +148,8 @@ def reading_grade(text: Column) -> Column:
     """Flesch-Kincaid grade with groups of vowels as syllables; null without words."""
     words, ends = F.regexp_count(text, F.lit("[A-Za-z']+")), F.greatest(F.lit(1), F.regexp_count(text, F.lit("[.!?]+")))
     syllables = F.regexp_count(F.lower(text), F.lit("[aeiouy]+"))
-    return F.when(words > 0, F.round(0.39 * words / ends + 11.8 * syllables / words - 15.59, 1))
+    # Rounded as tenths: the digits of 7.45 are 7.4499999..., its tenths are 74.5, which SQL rounds up.
+    return F.when(words > 0, F.round((0.39 * words / ends + 11.8 * syllables / words - 15.59) * 10) / 10)
 
 
 @F.pandas_udf(StringType())
