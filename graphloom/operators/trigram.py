@@ -3,7 +3,8 @@
 Texts and queries are folded and made unique first, so copies cost nothing.  Candidates come from an inverted
 index by the prefix rule: a match at threshold t shares ceil(t * n) of a query's n trigrams, so it shares one of
 any n - ceil(t * n) + 1 of them, and only the rarest so many are looked up.  A trigram that most texts
-hold is looked up only for queries of nothing else.
+hold is looked up only for queries of nothing else.  Sets of n and m trigrams share at least t * (n + m) / (1 + t)
+where their similarity is t; a pair whose looked-up trigrams leave too few for that is not compared.
 """
 
 from __future__ import annotations
@@ -28,24 +29,36 @@ def word_trigrams(text: Column) -> Column:
 
 
 def rarest(queries: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(q, gram): of each query the trigrams to look up.  queries (q, qs: distinct trigrams), texts (t, ts)."""
+    """(q, gram, n, rest): of each query the trigrams to look up, its size and how many held ones are not looked up.
+
+    queries (q, qs: distinct trigrams), texts (t, ts).
+    """
     df = texts.select(F.explode("ts").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     each = queries.select("q", F.size("qs").alias("n"), F.explode("qs").alias("gram")).join(df, "gram")
     ranked = top(each, ["q"], [F.asc("df"), F.asc("gram")], 1 << 30)
     # Trigrams that no text holds cannot be shared: they count among those looked up.
     held = each.groupBy("q").agg(F.count(F.lit(1)).alias("held"))
     probes = F.col("n") - F.ceil((least - ROUNDING) * F.col("n")) + 1 - (F.col("n") - F.col("held"))
-    return ranked.join(held, "q").where(F.col("rank") <= probes).select("q", "gram")
+    return ranked.join(held, "q").where(F.col("rank") <= probes).select("q", "gram", "n", F.greatest(F.lit(0), F.col("held") - probes).alias("rest"))
 
 
 def candidates(queries: DataFrame, texts: DataFrame, least: float, whole: bool) -> DataFrame:
     """(q, qs, t, ts) of pairs that may reach the threshold; whole: sizes must suit a similarity of whole sets."""
     posts = texts.select("t", F.size("ts").alias("m"), F.explode("ts").alias("gram"))
-    probes = rarest(queries, texts, least).join(queries.select("q", F.size("qs").alias("n")), "q")
+    # The look-ups are few bytes and much work: dealt to all cores, which a number given here keeps.
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    probes = staged(rarest(queries, texts, least), "probes").repartition(4 * cores, "q")
     met = probes.join(posts, "gram")
     if whole:
-        met = met.where((F.col("m") >= (least - ROUNDING) * F.col("n")) & (F.col("n") >= (least - ROUNDING) * F.col("m")))
-    return staged(met.select("q", "t").distinct(), "pairs").join(queries, "q").join(texts, "t")
+        low = least - ROUNDING
+        met = met.where((F.col("m") >= low * F.col("n")) & (F.col("n") >= low * F.col("m")))
+        most = F.count(F.lit(1)) + F.first("rest")
+        pairs = met.groupBy("q", "t").agg(most.alias("most"), F.first("n").alias("n"), F.first("m").alias("m"))
+        pairs = pairs.where(F.col("most") >= low / (1 + low) * (F.col("n") + F.col("m"))).select("q", "t")
+    else:
+        pairs = met.select("q", "t").distinct()
+    pairs = staged(pairs, "pairs").repartition(4 * cores, "q", "t")
+    return pairs.join(queries, "q").join(texts, "t")
 
 
 def overlap(a: Column, b: Column) -> Column:
