@@ -54,3 +54,13 @@ def test_a_pair_is_one_row(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
     plan = O.similarity(p, ic, closure, pairs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 2 and "Generate" not in plan and "Aggregate" not in plan
+
+
+def test_shared_terms_are_counted_for_similar_pairs_only(spark):
+    parents, ups, rows = sample()
+    p, closure, ic = frames(spark, parents, rows)
+    pairs = spark.createDataFrame([(a, b) for a in range(40) for b in range(a + 1, 40)], "a long, b long")
+    known = {int(r["term"]): r["ic"] for r in ic.collect()}
+    own = {a: {t for x, t, _ in rows if x == a and known[t] >= 2.0} for a in range(40)}
+    got = O.similar(p, ic, closure, pairs, 0.3, 1, 1000)
+    assert {(r["a"], r["b"]): r["shared"] for r in got.collect()} == {(a, b): len(own[a] & own[b]) for a in range(40) for b in range(a + 1, 40) if own[a] & own[b] and round(plain(ups, known, rows, a, b), 6) >= 0.3}
