@@ -64,3 +64,21 @@ def test_shared_terms_are_counted_for_similar_pairs_only(spark):
     own = {a: {t for x, t, _ in rows if x == a and known[t] >= 2.0} for a in range(40)}
     got = O.similar(p, ic, closure, pairs, 0.3, 1, 1000)
     assert {(r["a"], r["b"]): r["shared"] for r in got.collect()} == {(a, b): len(own[a] & own[b]) for a in range(40) for b in range(a + 1, 40) if own[a] & own[b] and round(plain(ups, known, rows, a, b), 6) >= 0.3}
+
+
+def test_ranking_judges_only_profiles_that_can_be_among_the_best(spark, monkeypatch):
+    rnd = random.Random(6)
+    is_a = [(f"t{i}", f"kind{i % 3}") for i in range(60)] + [(f"kind{i}", "root") for i in range(3)]
+    rows = [(p, f"t{(p // 4 * 7 + rnd.randrange(9)) % 60}", 0.5) for p in range(200) for _ in range(4)]
+    p = spark.createDataFrame(rows, "profile long, term string, frequency double").repartition(3)
+    closure = O.ancestors(spark.createDataFrame(is_a, "child string, parent string"))
+    ic = O.information_content(p, closure)
+    asked = [(q, t, True) for q in range(0, 200, 20) for t in sorted({t for x, t, _ in rows if x == q})] + [(q, f"t{q % 60}", False) for q in range(0, 200, 20)]
+    asked += [(q, "kind1", True) for q in range(0, 200, 20)] + [(777, "kind2", True)]  # 777 has wide terms only
+    queries = spark.createDataFrame(asked, "query long, term string, present boolean")
+    excluded = spark.createDataFrame([(1, "t5"), (21, "kind1"), (60, "t3")], "profile long, term string")
+    judged, two_sided = [], O.two_sided
+    monkeypatch.setattr(O, "two_sided", lambda a, b, pairs, least: judged.append(pairs.where("a <> 777").count()) or two_sided(a, b, pairs, least))
+    got = [sorted(map(tuple, O.rank_profiles(queries, p, excluded, ic, closure, 3, rare=rare).collect())) for rare in (30, 10**6)]
+    assert got[0] == got[1] and len(got[0]) == 33
+    assert sum(judged[:2]) < judged[2] * 0.8 and len(judged) == 3
