@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import best_fit_packing, decontamination, line_dedup, quality_rules, similar_sets
+from graphloom.llm import best_fit_packing, decontamination, line_dedup, quality_rules, similar_sets, simhash_neardup
 from graphloom.llm.common import read, staged
 from graphloom.llm.queries import tokenizer_path
 
@@ -26,8 +26,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of Jaccard similarity 0.8 or more (five-word shingles) stays."""
-    return similar_sets.keep_first(docs)
+    """One document of each group stays: SimHash fingerprints within 4 bits (op5's), or Jaccard 0.8 or more, which fingerprints cannot promise."""
+    return similar_sets.keep_first(docs, prints=staged(simhash_neardup.row_fingerprints(docs), "near-fingerprints"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_id_of, keyed_texts, sliced, staged
+from .common import doc_id_of, keyed_texts, row_number, sliced, staged, text_id
 from .components import components
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
@@ -163,6 +163,34 @@ def _compare(threshold: int):
     return compare
 
 
+def _row_fingerprints(batches):
+    for batch in batches:
+        for rows in sliced(batch, 4 << 20):
+            texts = rows["text"].to_pylist()
+            names = [row_number(k, t) for k, t in zip(rows["key"].to_pylist(), texts, strict=True)]
+            prints = [fingerprint(t.encode().lower().split()) for t in texts]
+            yield pa.RecordBatch.from_arrays([rows["key"], rows["tid"], pa.array(names, pa.int64()), pa.array(prints, pa.int64())], ["key", "tid", "did", "fp"])
+
+
+def row_fingerprints(docs: DataFrame) -> DataFrame:
+    """(key, tid, did, fp): as `fingerprints`, with what tells rows of one id apart and a number for each row."""
+    keyed = keyed_texts(docs)
+    return keyed.withColumn("tid", text_id(keyed)).mapInArrow(_row_fingerprints, "key long, tid long, did long, fp long")
+
+
+def row_links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(a, b): links of rows (did, fp) to the least row of what their fingerprints' links reach."""
+    rooted = prints.select("did", "fp").join(rooted_prints(prints, threshold), "fp")
+    heads = rooted.groupBy("root").agg(F.min("did").alias("a"))
+    return rooted.join(heads, "root").where("did > a").select("a", F.col("did").alias("b"))
+
+
+def rooted_prints(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(fp, root): each distinct fingerprint and the least that links reach."""
+    groups = components(links(prints, threshold))
+    return prints.select("fp").distinct().join(groups, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     return keyed_texts(docs).mapInArrow(_fingerprints, "key long, fp long")
 
@@ -187,9 +215,8 @@ def hex_digits(fp: Column) -> Column:
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, fingerprint and the smallest doc_id that links reach, per document."""
     prints = staged(fingerprints(docs), "fingerprints")
-    groups = components(links(prints, threshold))
     least = prints.groupBy("fp").agg(F.min("key").alias("least"))
-    rooted = least.join(groups, least["fp"] == groups["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    rooted = least.join(rooted_prints(prints, threshold), "fp")
     heads = rooted.groupBy("root").agg(F.min("least").alias("component"))
     of = rooted.join(heads, "root").select("fp", "component")
     return prints.join(of, "fp").select(doc_id_of(F.col("key")).alias("doc_id"), hex_digits(F.col("fp")).alias("fingerprint"), doc_id_of(F.col("component")).alias("component_id"))

@@ -28,14 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import placed
+from . import simhash_neardup
 from .batches import Batch, Rounds, deal, mixed, split_by_batch
-from .common import NULL_KEY, keyed_texts, staged, text_id
+from .common import NULL_KEY, keyed_texts, row_number, staged, text_id
 from .components import components
 
 SHINGLE = 5
 #: The least similarity as a fraction, so that sizes are exact.
 LEAST = (4, 5)
 LOW = np.uint64(0xFF)
+#: Characters of texts whose words are held at once.
+SLICE = 1 << 18
 FOUND = "key long, tid long, did long, copied boolean, prefix binary, shingles binary"
 
 
@@ -45,6 +48,16 @@ def signed(h: int) -> int:
 
 def shingle_sets(texts: list[str], shingle: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's shingles."""
+    out, at, size = [], 0, 0
+    for i, text in enumerate(texts):  # words are objects: those of a slice only are held at once
+        size += len(text)
+        if size > SLICE or i == len(texts) - 1:
+            out += _shingle_sets(texts[at : i + 1], shingle)
+            at, size = i + 1, 0
+    return out
+
+
+def _shingle_sets(texts: list[str], shingle: int) -> list[np.ndarray]:
     words = [t.encode().lower().split() for t in texts]
     flat = [w for own in words for w in own]
     h = np.fromiter(map(xxhash.xxh64_intdigest, flat), np.uint64, len(flat))
@@ -198,8 +211,7 @@ def candidates(texts: DataFrame, batch_bytes: int, shard_bytes: int) -> DataFram
             begin, end = end, end + len(own)
             met = prefix(own, code[begin:end])
             if len(met):
-                name = (k.to_bytes(8, "big", signed=True)) + t.encode()
-                out.append((k, tid(t), signed(xxhash.xxh64_intdigest(name, 7)), False, met.tobytes(), own.tobytes()))
+                out.append((k, tid(t), row_number(k, t), False, met.tobytes(), own.tobytes()))
         columns = zip(*out, strict=True) if out else ((),) * 6
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "tid", "did", "copied", "prefix", "shingles"])
@@ -253,12 +265,19 @@ def links(sets: DataFrame, crowd: int) -> DataFrame:
     return found.unionByName(_compared(meet("i").unionByName(meet("j")), sets)).distinct()
 
 
-def keep_first(docs: DataFrame, batch_bytes: int = 6 << 20, shard_bytes: int = 16 << 20, crowd: int = 500) -> DataFrame:
-    """The documents that are the first of their group of near duplicates, all columns; of equal rows one stays."""
+def keep_first(docs: DataFrame, batch_bytes: int = 2 << 20, shard_bytes: int = 6 << 20, crowd: int = 500, prints: DataFrame | None = None) -> DataFrame:
+    """The documents that are the first of their group of near duplicates, all columns; of equal rows one stays.
+
+    prints (key, tid, did, fp): fingerprints of all rows (`simhash_neardup`); what they link is in one group too.
+    """
+    more = None if prints is None else staged(simhash_neardup.row_links(prints), "near-simhash")
     found = candidates(keyed_texts(docs), batch_bytes, shard_bytes)
     sets = found.where("not copied")
-    groups = components(links(sets, crowd))
-    named = staged(sets.select("key", "tid", "did").join(groups, F.col("did") == F.col("node")).select("key", "tid", "root"), "near-groups")
+    alike, rows = links(sets, crowd), sets
+    if more is not None:
+        alike, rows = alike.unionByName(more), prints
+    groups = components(alike)
+    named = staged(rows.select("key", "tid", "did").distinct().join(groups, F.col("did") == F.col("node")).select("key", "tid", "root"), "near-groups")
     first = named.groupBy("root").agg(F.min(F.struct("key", "tid")).alias("first"))
     late = named.join(first, "root").where(F.struct("key", "tid") > F.col("first")).select("key", "tid")
     gone = late.unionByName(found.where("copied").select("key", "tid")).select(F.col("key").alias("__gone_key"), F.col("tid").alias("__gone_tid"))

@@ -278,6 +278,17 @@ def test_pipeline_drops_pairs_of_similarity_point_eight(spark):
         assert sorted(root(x) for _, x in got) == sorted(keys) and all(k == min(keys[root(x)]) for k, x in got)
 
 
+def test_pipeline_drops_what_fingerprints_link(spark):
+    # Many repeats of few shingles carry the fingerprint; the sets of shingles differ in most of their members.
+    words = [f"w{i}" for i in range(400)]
+    docs = [(3 * d + 1, " ".join(["one two three four five"] * 60 + words[40 * d : 40 * d + 12])) for d in range(6)] + [(100, " ".join(words[:60])), (None, " ".join(words[100:160]))]
+    prints = {d: simhash_neardup.fingerprint(t.encode().split()) for d, t in docs}
+    sets = {d: set(zip(*(t.split()[i:] for i in range(5)))) for d, t in docs}
+    assert all((prints[1] ^ prints[d]).bit_count() <= 4 and 5 * len(sets[1] & sets[d]) < 4 * len(sets[1] | sets[d]) for d in (4, 7, 10, 13, 16))
+    got = dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, frame(spark, docs), "")
+    assert sorted(str(r["doc_id"]) for r in got.collect()) == ["1", "100", "None"]
+
+
 def test_large_groups_lie_in_bounded_blocks(spark):
     # A chain of pairs, each by its own shingle, and one shingle that a third of all documents have.
     shared = [(g, d) for g in range(60) for d in (g, g + 1)] + [(-1, d) for d in range(0, 60, 3)] + [(99, 200), (99, 201)]
