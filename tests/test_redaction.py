@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import pyarrow as pa
+
 from graphloom.operators import redaction as R
 
 GONE = [
@@ -72,3 +74,18 @@ def test_offsets_map_back(spark):
         want |= {(i, p): e for p, e in enumerate(edge)}
     assert {(r["doc_id"], r["p"]): (r["a"], r["b"]) for r in got.collect()} == want
     assert whole[25]["text"] is None and whole[26]["text"] == "" and whole[27]["text"].endswith(" <EMAIL>")
+
+
+def test_workers_hold_little_at_once(spark):
+    texts = ["Mail a.b@example.org now. " * 2000, None, "", *(f"Tel: +49 30 12345{i:03d} " * 1000 for i in range(90)), "x" * (3 << 20)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    parts = list(R._sliced([batch, batch.slice(0, 0)]))
+    assert [t for p in parts for t in p["text"].to_pylist()] == texts
+    assert all(p.num_rows <= 1 or sum(len(t or "") for t in p["text"].to_pylist()) <= R.SLICE_BYTES for p in parts) and len(parts) > 3
+    docs = spark.createDataFrame(list(enumerate(texts[:8])), "id long, text string")
+    want = {}
+    for r in R.redact(docs, "id", "text").collect():
+        for x in r["spans"]:
+            n, size = want.get(x["kind"], (0, 0))
+            want[x["kind"]] = (n + 1, size + x["end"] - x["start"])
+    assert want and {r["kind"]: (r["n"], r["code_points"]) for r in R.counted(docs, "text").collect()} == want
