@@ -82,6 +82,13 @@ def word_runs(name: str) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.array_join(F.slice(words, i, j - i + 1), " ")))))
 
 
+def teams(asked: DataFrame) -> DataFrame:
+    """(ask, team, nodes): the nodes of each ask that others match too, and the least ask with just these."""
+    shared = asked.join(asked.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node"), "node", "left_semi")
+    sets = staged(shared.groupBy("ask").agg(F.array_sort(F.collect_set("node")).alias("nodes")), "sets")
+    return sets.join(sets.groupBy("nodes").agg(F.min("ask").alias("team")), "nodes").select("ask", "team", "nodes")
+
+
 def expert_clusters(hits: DataFrame, clusters: DataFrame, members: DataFrame, causes: DataFrame, links: DataFrame, trials: DataFrame, most: int = 10, least_base: float = 0.2) -> DataFrame:
     """(ask, cluster, score, n_members, n_trials, strength, rank): clusters by how well their members reach what a query matched.
 
@@ -89,15 +96,30 @@ def expert_clusters(hits: DataFrame, clusters: DataFrame, members: DataFrame, ca
     (cluster, id), causes (id, gene, edge, confidence), links (gene, node, edge, confidence), trials (id, trial).
     A member's best chain id -> gene [-> node] counts, ties to the lesser node, then to the lesser edges.
     score = 0.5 * coverage * mean strength + 0.3 if the text names a matched mechanism or pathway + 0.2 * own match.
+
+    What a node reaches grows with the graph, and so do the asks that match a common one.  So asks that match the same
+    nodes, those aside that they match alone, are one team: its members are reached and summed once, and each
+    ask only adds where a node of its own gives a better chain.
     """
     hits = staged(hits.where(F.col("base") >= least_base).groupBy("ask", "node").agg(F.max("base").alias("base"), F.min("kind").alias("kind"), F.min("label").alias("label")), "hits")
     members = members.select("cluster", "id").distinct()
     reach = causes.select("id", F.col("gene").alias("node"), F.array("edge").alias("edges"), F.col("confidence").alias("strength"))
     two = causes.alias("c").join(links.alias("l"), "gene").select("id", F.col("l.node").alias("node"), F.array("c.edge", "l.edge").alias("edges"), (F.col("c.confidence") * F.col("l.confidence")).alias("strength"))
-    met = hits.where("kind <> 'cluster'").select("ask", "node").join(reach.unionByName(two), "node").where("strength > 0")
-    best = met.groupBy("ask", "id").agg(F.min(F.struct((-F.col("strength")).alias("s"), "node", "edges")).alias("o")).select("ask", "id", (-F.col("o.s")).alias("strength"), "o.edges")
-    per = staged(best.join(members, "id").select("ask", "cluster", "id", "strength", "edges"), "reached")
-    reached = per.groupBy("ask", "cluster").agg(F.count(F.lit(1)).alias("n_reached"), F.sum("strength").alias("sum_strength"))
+    reach = reach.unionByName(two).where("strength > 0")
+    chain = F.struct((-F.col("strength")).alias("s"), "node", "edges")
+    asked = hits.where("kind <> 'cluster'").select("ask", "node")
+    team_of = staged(teams(asked), "teams")
+    nodes = team_of.select("team", F.explode("nodes").alias("node")).distinct()
+    team_of = team_of.select("ask", "team")
+    alone = asked.join(nodes.select("node").distinct(), "node", "left_anti")
+    best = staged(nodes.join(reach, "node").groupBy("team", "id").agg(F.min(chain).alias("o")), "best")
+    own_best = alone.join(reach, "node").groupBy("ask", "id").agg(F.min(chain).alias("new")).join(team_of, "ask", "left")
+    other = own_best.join(best.withColumnRenamed("o", "old"), ["team", "id"], "left").where(F.col("old").isNull() | (F.col("new") < F.col("old")))
+    other = staged(other.join(members, "id").select("ask", "team", "cluster", "old", "new"), "other")
+    per = staged(best.join(members, "id").select("team", "cluster", (-F.col("o.s")).alias("strength"), "o.edges"), "reached")
+    sums = per.groupBy("team", "cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("strength").alias("s"))
+    more = other.select("ask", "cluster", F.col("old").isNull().cast("long").alias("n"), (F.coalesce("old.s", F.lit(0.0)) - F.col("new.s")).alias("s"))
+    reached = team_of.join(sums, "team").select("ask", "cluster", "n", "s").unionByName(more).groupBy("ask", "cluster").agg(F.sum("n").alias("n_reached"), F.sum("s").alias("sum_strength"))
     size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_members"))
     texts = staged(clusters.select("cluster", normal_name(F.coalesce("text", F.lit(""))).alias("text")), "texts")
     runs = texts.select("cluster", F.explode(word_runs("text")).alias("name"))
@@ -108,8 +130,20 @@ def expert_clusters(hits: DataFrame, clusters: DataFrame, members: DataFrame, ca
     score = 0.5 * F.coalesce(F.col("n_reached") / F.col("n_members") * (F.col("sum_strength") / F.col("n_reached")), none) + F.coalesce("_named", none) + 0.2 * F.coalesce("_own", none)
     ranked = staged(top(j.withColumn("score", F.round(score, 6)).where("score > 0"), ["ask"], [F.desc("score"), F.asc("cluster")], most), "ranked")
     conf = causes.select("edge", "confidence").unionByName(links.select("edge", "confidence")).groupBy("edge").agg(F.max("confidence").alias("confidence"))
-    used = per.join(ranked.select("ask", "cluster"), ["ask", "cluster"], "left_semi").select("ask", "cluster", F.explode("edges").alias("edge")).distinct()
-    strength = used.join(conf, "edge").groupBy("ask", "cluster").agg(F.round(F.avg("confidence"), 6).alias("strength"))
+    of_team = ranked.select("ask", "cluster").join(team_of, "ask", "left")
+    edges = per.join(of_team.select("team", "cluster").distinct(), ["team", "cluster"], "left_semi").select("team", "cluster", F.explode("edges").alias("edge"))
+    used = staged(edges.groupBy("team", "cluster", "edge").agg(F.count(F.lit(1)).alias("n")).join(conf, "edge"), "used")
+    of = used.groupBy("team", "cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("confidence").alias("s"))
+    # An edge leaves a cluster of an ask with the last member that uses it.
+    uses = lambda column, step: F.transform(F.coalesce(f"{column}.edges", F.array().cast("array<string>")), lambda e: F.struct(e.alias("edge"), F.lit(step).alias("step")))
+    moved = other.join(ranked.select("ask", "cluster"), ["ask", "cluster"], "left_semi").select("ask", "team", "cluster", F.inline(F.concat(uses("old", -1), uses("new", 1))))
+    moved = moved.groupBy("ask", "team", "cluster", "edge").agg(F.sum("step").alias("step")).join(conf, "edge").join(used.select("team", "cluster", "edge", "n"), ["team", "cluster", "edge"], "left")
+    before = F.coalesce("n", F.lit(0))
+    change = (before + F.col("step") > 0).cast("int") - (before > 0).cast("int")
+    moved = moved.groupBy("ask", "cluster").agg(F.sum(change).alias("_n"), F.sum(change * F.col("confidence")).alias("_s"))
+    both = of_team.join(of, ["team", "cluster"], "left").join(moved, ["ask", "cluster"], "left")
+    total = lambda x: F.coalesce(x, F.lit(0)) + F.coalesce(f"_{x}", F.lit(0))
+    strength = both.where(total("n") > 0).select("ask", "cluster", F.round(total("s") / total("n"), 6).alias("strength"))
     tested = members.join(ranked.select("cluster").distinct(), "cluster", "left_semi").join(trials.select("id", "trial"), "id").select("cluster", "trial").distinct().groupBy("cluster").agg(F.count(F.lit(1)).alias("n_trials"))
     out = ranked.join(strength, ["ask", "cluster"], "left").join(tested, "cluster", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

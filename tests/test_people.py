@@ -79,6 +79,42 @@ def test_expert_clusters(spark):
     assert H.expert_clusters(hits.limit(0), clusters, members, causes, links, trials).collect() == []
 
 
+def test_expert_clusters_of_asks_with_a_common_node(spark, monkeypatch):
+    """What a common node reaches is written once, however many asks match it; a node of their own changes single members."""
+    put = lambda rows, schema: spark.createDataFrame(rows, schema)
+    n_asks, n_ids = 30, 40
+    hits = put([(a, "m", "gene", "M", 1.0) for a in range(n_asks)] + [(a, f"g{a}", "gene", "G", 1.0) for a in range(0, n_asks, 3)], "ask long, node string, kind string, label string, base double")
+    clusters = put([("c0", None), ("c1", None)], "cluster string, text string")
+    members = [(f"c{i % 2}", f"d{i}") for i in range(n_ids)]
+    causes = [(f"d{i}", f"g{i % 7}", f"e{i}", (50 + i) / 100) for i in range(n_ids)]
+    links = [(f"g{j}", "m", f"l{j}", (40 + 9 * j) / 100) for j in range(6)]
+    sizes, write = {}, H.staged
+
+    def count(df, label):
+        out = write(df, label)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(H, "staged", count)
+    found = H.expert_clusters(hits, clusters, put(members, "cluster string, id string"), put(causes, "id string, gene string, edge string, confidence double"), put(links, "gene string, node string, edge string, confidence double"), put([("d0", "t0")], "id string, trial string"))
+    got = {(r["ask"], r["cluster"]): (r["score"], r["strength"]) for r in found.collect()}
+    link, conf = {g: (e, c) for g, _, e, c in links}, {e: c for _, _, e, c in causes} | {e: c for _, _, e, c in links}
+    want = {}
+    for a in range(n_asks):
+        for c in ("c0", "c1"):
+            total, edges = 0.0, set()
+            for i, g, e, p in causes:
+                ways = [(-p, [e])] if a % 3 == 0 and g == f"g{a}" else []
+                ways += [(-p * link[g][1], [e, link[g][0]])] if g in link else []
+                if (c, i) in members and ways:
+                    total -= min(ways)[0]
+                    edges |= set(min(ways)[1])
+            want[a, c] = (total / 40, sum(conf[e] for e in edges) / len(edges))
+    assert got.keys() == want.keys()
+    assert all(abs(x - y) < 2e-6 for k in want for x, y in zip(got[k], want[k], strict=True))
+    assert sizes["reached"] <= n_ids and sizes["other"] <= n_ids
+
+
 def test_ids_in_queries(spark):
     rows = [("MONDO:7606", True, ["MONDO:7606", "MONDO:0007606"]), (" hp_0001263", True, ["HP_0001263", "HP:0001263"]), ("PMID: 0012", True, ["PMID: 0012", "PMID:12"]), ("orpha:000", True, ["ORPHA:000", "ORPHA:0"]), ("R01-X_a.b", True, ["R01-X_A.B", "R01-X:A.B"]), ("a name: b", False, None), ("x", False, None), ("", False, None), (None, False, None), ("MONDO:12345678", True, ["MONDO:12345678"])]
     q = spark.createDataFrame([(r[0],) for r in rows], "q string").select("q", P.is_id_query(F.col("q")).alias("is_id"), P.id_candidates(F.col("q")).alias("ids"))
