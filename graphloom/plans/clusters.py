@@ -40,7 +40,7 @@ ln AS (SELECT cluster, CASE WHEN anchor IS NULL THEN system ELSE system || '>' |
 def _lineages(spark, d):
     """Nations as clusters of their customers, which are annotated with the parts they bought."""
     p, closure, ic = _profiles(spark, d)
-    p = staged(p.select(F.col("profile").alias("id"), "term"), "annotations")
+    p = p.select(F.col("profile").alias("id"), "term")
     members = T.read(spark, d, "customer").select(F.col("c_nationkey").alias("cluster"), F.col("c_custkey").alias("id"))
     ranked = M.distinctive(p.join(members, "id"), "cluster", "term", "id", 50).select("cluster", "term", "rank")
     return members, N.lineages(members, p, ranked, ic, T.is_a(T.read(spark, d, "part")), closure, "ROOT")
