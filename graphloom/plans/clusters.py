@@ -15,7 +15,7 @@ from .catalog import SQL_PROFILES, _mechanisms, _profiles, query
 
 def _signed_links(spark, d):
     """Parts that share a supplier pull by agreeing (1.0) or unknown (0.5) mechanisms and push by differing ones."""
-    same = I.same_gene(_mechanisms(spark, d), 60)
+    same = I.same_gene(_mechanisms(spark, d), None)  # suppliers of any number of parts
     kind = F.when(F.col("same"), "same").when(~F.col("same"), "different").otherwise("unknown")
     links = same.select("a", "b", kind.alias("relation"), F.col("weight").alias("score"))
     return I.layer_weights(links, {"same": 1.0, "unknown": 0.5}, "different")

@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 
 from graphloom.operators import clusters as L
+from graphloom.plans.clusters import _signed_links
 
 SCHEMA = "a long, b long, positive double, negative double"
 
@@ -93,3 +94,11 @@ def test_signed_clusters_of_odd_input(spark):
     got = {r["node"]: r["cluster"] for r in L.signed_clusters(odd, nodes).collect()}
     assert got[1] != got[2] and got[3] == 3
     assert L.signed_clusters(none, nodes.limit(0)).collect() == []
+
+
+def test_links_of_a_supplier_of_many_parts_are_whole(spark, tmp_path):
+    """Seventy parts of one supplier make all their pairs."""
+    spark.range(140).selectExpr("7L AS l_suppkey", "id % 70 AS l_partkey", "IF(id % 2 = 0, 'A', 'N') AS l_returnflag").write.parquet(str(tmp_path / "lineitem.parquet"))
+    links = _signed_links(spark, str(tmp_path)).collect()
+    assert {(r["a"], r["b"]) for r in links} == {(a, b) for b in range(70) for a in range(b)} and len(links) == 70 * 69 // 2
+    assert all(r["positive" if (r["a"] + r["b"]) % 2 == 0 else "negative"] > 0 for r in links)
