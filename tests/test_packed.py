@@ -5,6 +5,7 @@ import random
 import pytest
 
 from graphloom.operators import ontology as O
+from graphloom.operators import packed
 
 
 def sample():
@@ -82,3 +83,16 @@ def test_ranking_judges_only_profiles_that_can_be_among_the_best(spark, monkeypa
     got = [sorted(map(tuple, O.rank_profiles(queries, p, excluded, ic, closure, 3, rare=rare).collect())) for rare in (30, 10**6)]
     assert got[0] == got[1] and len(got[0]) == 33
     assert sum(judged[:2]) < judged[2] * 0.8 and len(judged) == 3
+
+
+def test_dealt_pairs_share_packs(spark, monkeypatch):
+    """The same values from tasks of ranges of profiles, where a pack goes to a task once."""
+    parents, _, rows = sample()
+    p, closure, ic = frames(spark, parents, rows)
+    asked = [(a, b) for a in range(40) for b in range(a + 1, 40)] + [(3, 90), (90, 777), (778, 779)]
+    pairs = spark.createDataFrame(asked, "a long, b long")
+    want = {(r["a"], r["b"]): r["similarity"] for r in O.similarity(p, ic, closure, pairs).collect()}
+    monkeypatch.setattr(packed, "DEALT", 100)
+    got = O.similarity(p, ic, closure, pairs, True).collect()
+    assert {(r["a"], r["b"]): r["similarity"] for r in got} == want and len(got) == len(asked)
+    assert O.similarity(p, ic, closure, pairs.limit(0), True).collect() == []
